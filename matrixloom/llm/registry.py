@@ -1,8 +1,8 @@
 """Queries of the training-data operators."""
 
-from . import near_dedup
+from . import near_dedup, substring_dedup
 
-MODULES = (near_dedup,)
+MODULES = (near_dedup, substring_dedup)
 
 
 def queries() -> dict:
