@@ -1,8 +1,8 @@
 """Queries of the training-data operators."""
 
-from . import near_dedup, secrets, substring_dedup
+from . import near_dedup, quality_rules, secrets, substring_dedup
 
-MODULES = (near_dedup, substring_dedup, secrets)
+MODULES = (near_dedup, substring_dedup, secrets, quality_rules)
 
 
 def queries() -> dict:
