@@ -2,7 +2,7 @@
 
 from . import near_dedup, quality_rules, secrets, substring_dedup
 
-MODULES = (near_dedup, substring_dedup, secrets, quality_rules)
+MODULES = (near_dedup, substring_dedup, secrets, quality_classifier, pii, quality_rules, sharding, html_extract)
 
 
 def queries() -> dict:
