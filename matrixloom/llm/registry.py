@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from . import near_dedup, quality_rules, secrets, substring_dedup
+from . import html_extract, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, substring_dedup
 
 MODULES = (near_dedup, substring_dedup, secrets, quality_classifier, pii, quality_rules, sharding, html_extract)
 
