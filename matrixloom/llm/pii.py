@@ -253,6 +253,21 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def redact_texts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """docs with every span in `text_col` replaced by its kind in brackets; other columns and null texts as they are."""
+    at = docs.columns.index(text_col)
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], pa.string())
+            columns = list(batch.columns)
+            columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 

@@ -180,12 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([[bytes(x) for x in r.runs] for r in rows], [r.quality for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column score added, from the whole text alone."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs with a column of scores added, from the whole text alone."""
     values, bias = model
     sent = docs.sparkSession.sparkContext.broadcast(values.astype(np.float32))  # BUCKETS numbers, 256 kB
     at = docs.columns.index(text_col)
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(out_col, F.lit(0.0)).schema
 
     def run(batches):
         scorer = Scorer(sent.value.astype(np.float64), bias)

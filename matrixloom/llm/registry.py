@@ -1,8 +1,8 @@
 """Queries of the training-data operators."""
 
-from . import decontaminate, html_extract, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, substring_dedup
+from . import decontaminate, html_extract, near_dedup, pieces, pii, quality_classifier, quality_rules, secrets, sharding, substring_dedup
 
-MODULES = (near_dedup, substring_dedup, secrets, quality_classifier, pii, quality_rules, sharding, html_extract, decontaminate)
+MODULES = (near_dedup, substring_dedup, secrets, quality_classifier, pii, quality_rules, sharding, html_extract, decontaminate, pieces)
 
 
 def queries() -> dict:
