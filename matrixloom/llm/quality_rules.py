@@ -1,10 +1,11 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-DataFrame functions only. Each rule votes good, bad or nothing on counts of a text. The corpus is
-reduced to the counts of its vote patterns (at most 3 to the number of rules, whatever its size), and
-expectation-maximisation over that table estimates the share of good texts and, for each rule, how
-often it votes good on good texts and bad on bad ones. A text's posterior probability of being good
-replaces all-must-pass filtering.
+DataFrame functions only. Each rule votes good, bad or nothing on counts of a text. Bad texts are bad in
+different ways, and one way makes few rules vote bad, so the latent classes are "good" and one way of
+being bad for each rule. The corpus is reduced to the counts of its vote patterns (at most 3 to the
+number of rules, whatever its size); over that table expectation-maximisation estimates the classes'
+shares and each rule's accuracy, its chance of a bad vote, in each class. A text's posterior
+probability of the good class replaces all-must-pass filtering.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from ._sql import let, words
 
 GRAM = 5
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 25
-#: Starting values: share of good texts; chance of a good vote on a good text and of a bad vote on a bad one.
-PRIOR, GOOD_RIGHT, BAD_RIGHT = 0.8, 0.9, 0.7
-BOUNDS = (0.02, 0.98)
+ROUNDS, SETTLED = 30, 1e-3
+#: Starting values: share of good texts; chances of a bad vote on a good text, by a bad kind's own rule, by others.
+PRIOR, ON_GOOD, OWN, OTHERS = 0.8, 0.01, 0.9, 0.1
+#: Bounds of all chances, and the most that a rule may err on good texts.
+BOUNDS, MOST_ON_GOOD = (0.005, 0.995), 0.05
 
 
 def repeated_words(w: Column) -> Column:
@@ -88,38 +90,52 @@ def votes() -> dict[str, Column]:
     }
 
 
-def posterior(names: list[str], model: dict) -> Column:
-    """Probability that a text with these votes is good; the share of good texts where no rule votes."""
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for v in names:
-        good, bad = model[v]
-        odds = odds + F.when(F.col(v) == 1, F.lit(math.log(good / (1 - bad)))).when(F.col(v) == 0, F.lit(math.log((1 - good) / bad))).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
+def start(n_rules: int) -> tuple[list[float], list[list[float]]]:
+    """(shares, chances of a bad vote by class and rule) to begin with; class 0 is good."""
+    shares = [PRIOR] + [(1 - PRIOR) / n_rules] * n_rules
+    return shares, [[ON_GOOD] * n_rules] + [[OWN if i == j else OTHERS for j in range(n_rules)] for i in range(n_rules)]
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
-    """Expectation-maximisation over (votes, n); every round is one aggregation that returns one row."""
-    model = {"prior": PRIOR} | {v: (GOOD_RIGHT, BAD_RIGHT) for v in names}
+def posteriors(v: Column, model: tuple[list[float], list[list[float]]]) -> Column:
+    """array<double>: probability of each class given an array of votes. The model is one folded literal per array."""
+    shares, chances = model
+    n = len(chances[0])
+    logs = lambda values: F.split(F.lit(",".join(repr(math.log(x)) for x in values)), ",").cast("array<double>")
+    bad, good = logs(x for row in chances for x in row), logs(1 - x for row in chances for x in row)
+    rules = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def weight(c: Column, share: Column) -> Column:
+        one = lambda j: F.when(F.get(v, j) == 0, F.get(bad, c * n + j)).when(F.get(v, j) == 1, F.get(good, c * n + j)).otherwise(F.lit(0.0))
+        return F.aggregate(rules, share, lambda a, j: a + one(j))
+
+    weights = F.transform(logs(shares), lambda share, c: weight(c, share))
+    scaled = let(weights, lambda w: F.transform(w, lambda x: F.exp(x - F.array_max(w))))
+    return let(scaled, lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y)))
+
+
+def fit(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[list[float], list[list[float]]]:
+    """Expectation-maximisation over (votes array<int>, n); a round is one aggregation to classes x rules x votes rows."""
+    first = patterns.select(F.max(F.size("votes"))).first()[0]
+    if not first:
+        return [1.0], [[]]
+    model = begun = start(first)
     hold = lambda x: min(max(x, BOUNDS[0]), BOUNDS[1])
     for _ in range(rounds):
-        q = patterns.withColumn("q", posterior(names, model))
-        sums = [F.sum("n").alias("n"), F.sum(F.col("q") * F.col("n")).alias("good")]
-        for v in names:
-            weight = lambda vote, c, v=v: F.sum(F.when(F.col(v) == vote, F.col("n") * c).otherwise(0.0))
-            sums += [weight(1, F.col("q")).alias(f"{v}_1g"), weight(0, F.col("q")).alias(f"{v}_0g"), weight(1, 1 - F.col("q")).alias(f"{v}_1b"), weight(0, 1 - F.col("q")).alias(f"{v}_0b")]
-        s = q.agg(*sums).first()
-        if not s.n:
-            return model
-        # one text's weight at the starting values keeps a rule that hardly votes where it is
-        new = {"prior": hold(s.good / s.n)}
-        for v in names:
-            new[v] = (
-                hold((s[f"{v}_1g"] + GOOD_RIGHT) / (s[f"{v}_1g"] + s[f"{v}_0g"] + 1)),
-                hold((s[f"{v}_0b"] + BAD_RIGHT) / (s[f"{v}_0b"] + s[f"{v}_1b"] + 1)),
-            )
-        moved = max([abs(new["prior"] - model["prior"])] + [abs(a - b) for v in names for a, b in zip(new[v], model[v])])
-        model = new
-        if moved < 1e-4:
+        by_class = patterns.select("votes", "n", F.posexplode(posteriors(F.col("votes"), model)).alias("c", "q"))
+        by_rule = by_class.select("c", (F.col("q") * F.col("n")).alias("w"), F.posexplode("votes").alias("j", "vote"))
+        sums = {(r.c, r.j, r.vote): r.w for r in by_rule.groupBy("c", "j", "vote").agg(F.sum("w").alias("w")).collect()}
+        total = lambda c: sum(sums.get((c, 0, vote), 0.0) for vote in (-1, 0, 1))  # noqa: B023, E731
+        n = sum(total(c) for c in range(first + 1))
+        # the starting values weigh as much as one text
+        shares = [(total(c) + begun[0][c]) / (n + 1) for c in range(first + 1)]
+        chances = []
+        for c in range(first + 1):
+            votes_of = [(sums.get((c, j, 0), 0.0), sums.get((c, j, 1), 0.0)) for j in range(first)]
+            chances.append([hold((bad + begun[1][c][j]) / (bad + good + 1)) for j, (bad, good) in enumerate(votes_of)])
+        chances[0] = [min(x, MOST_ON_GOOD) for x in chances[0]]
+        moved = max(abs(x - y) for new, old in zip([shares, *chances], [model[0], *model[1]]) for x, y in zip(new, old))
+        model = shares, chances
+        if moved < SETTLED:
             break
     return model
 
@@ -131,18 +147,12 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     equal verdicts. Other columns of `docs` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    rules = votes()
-    names = list(rules)
-    rows = scratch.keep(counts(docs, id_col, text_col).withColumns(rules), "counts")
-    patterns = scratch.keep(rows.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    model = fit(patterns, names)
+    rows = scratch.keep(counts(docs, id_col, text_col).withColumn("votes", F.array(*votes().values())), "counts")
+    patterns = scratch.keep(rows.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    good = F.coalesce(F.get(posteriors(F.col("votes"), fit(patterns)), F.lit(0)), F.lit(0.0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        posterior(names, model).alias("p_good"),
-        (~failed & (posterior(names, model) >= least)).alias("kept"),
-    )
+    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), good.alias("p_good"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

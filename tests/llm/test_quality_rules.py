@@ -30,8 +30,10 @@ def test_documents_and_agreement_with_labels(spark):
     out = Q.quality_rules(docs)
     check([(r.doc_id, r.text) for r in docs.collect()], out)
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    rows = [(labels[r.doc_id], r.p_good >= 0.5) for r in out.collect() if r.doc_id in labels and r.n_words >= 10]
-    assert sum(bool(q) == k for q, k in rows) / len(rows) > 0.9
+    rows = [(labels[r.doc_id], r.kept, r.base_failed) for r in out.collect() if r.doc_id in labels]
+    bad = [k for q, k, _ in rows if q == 0]
+    good = [k for q, k, failed in rows if q == 1 and not failed]
+    assert sum(bad) <= 0.03 * len(bad) and sum(good) >= 0.99 * len(good)
 
 
 def test_cases(spark):
@@ -45,20 +47,18 @@ def test_cases(spark):
     assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_estimates_rule_accuracies(spark):
-    """Votes drawn from known accuracies: EM finds them."""
+def test_estimates_shares_and_accuracies(spark):
+    """Votes drawn from a known model: EM finds it."""
     rng = random.Random(6)
-    truth = {"a": (0.95, 0.8), "b": (0.85, 0.9), "c": (0.9, 0.6)}
+    shares, chances = [0.75, 0.15, 0.0, 0.1], [[0.02, 0.01, 0.03], [0.9, 0.2, 0.1], [0.1, 0.9, 0.1], [0.05, 0.3, 0.95]]
     rows = []
     for _ in range(20000):
-        good = rng.random() < 0.75
-        vote = lambda g, b: -1 if rng.random() < 0.2 else int(rng.random() < g) if good else int(rng.random() >= b)
-        rows.append(tuple(vote(*truth[k]) for k in "abc"))
-    df = spark.createDataFrame(rows, "a int, b int, c int").groupBy("a", "b", "c").count().withColumnRenamed("count", "n").cache()
-    model = Q.fit(df, list("abc"), rounds=60)
-    assert abs(model["prior"] - 0.75) < 0.08
-    for k, (g, b) in truth.items():
-        assert abs(model[k][0] - g) < 0.08 and abs(model[k][1] - b) < 0.12
+        c = rng.choices(range(4), shares)[0]
+        rows.append(([-1 if rng.random() < 0.1 else int(rng.random() >= p) for p in chances[c]],))
+    df = spark.createDataFrame(rows, "votes array<int>").groupBy("votes").count().withColumnRenamed("count", "n").cache()
+    got = Q.fit(df, rounds=60)
+    assert abs(got[0][0] - 0.75) < 0.05 and abs(got[0][1] - 0.15) < 0.05 and abs(got[0][3] - 0.1) < 0.05
+    assert abs(got[1][1][0] - 0.9) < 0.1 and abs(got[1][3][2] - 0.95) < 0.1 and max(got[1][0]) < 0.06
 
 
 def test_runs_no_python(spark):
