@@ -76,6 +76,16 @@ class Matrix:
     def _columns(self, frame: DataFrame, spec: AxisSpec) -> DataFrame:
         raise NotImplementedError
 
+    def gather(self, request: DataFrame, n_rows: int | None = None) -> Matrix:
+        """Rows by a table (pos, row) of any size; positions run from 0."""
+        n = request.count() if n_rows is None else n_rows
+        frame = self.frame.join(request.select("row", "pos"), "row").drop("row").withColumnRenamed("pos", "row").select(*self.frame.columns)
+        return replace(self, frame=frame, n_rows=n, meta={})
+
+    def keep(self, rows: DataFrame) -> Matrix:
+        """Rows whose number is in a table (row), in ascending order and numbered anew; the relational form of a mask."""
+        return self.gather(renumber(rows.select("row").distinct()))
+
     def __getitem__(self, key: Any):
         """numpy-like: a dense scalar row drops its axis, a sparse one stays a matrix, two scalars give a value."""
         r, c, one_row, one_col = normalize_key(key, self.n_rows, self.n_cols)
@@ -271,6 +281,13 @@ def densify(frame: DataFrame, key: str, n_cols: int, d: DType, template: list, k
     return frame.select(*columns, "indices", "values").mapInArrow(run, schema)
 
 
+def storable(array: Any) -> np.ndarray:
+    """An array widened to the nearest value type: bool and u8 to u16, i8 to i16, f16 to f32, any byte order to the machine's."""
+    a = np.asarray(array)
+    wider = {"b1": np.uint16, "u1": np.uint16, "i1": np.int16, "f2": np.float32}.get(f"{a.dtype.kind}{a.dtype.itemsize}")
+    return a.astype(wider) if wider is not None else a.astype(dtype(a.dtype).numpy)
+
+
 # --- building matrices -----------------------------------------------------------------------
 
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.errors import ConversionError  # type: ignore[attr-defined]
+from ..functions.types import dtype
+from .matrix import Matrix
+
 #: Defaults (fixed values): bytes of a chunk and of a block.
 CHUNK_BUDGET, BLOCK_BUDGET = 100 << 20, 64 << 10
 
@@ -70,3 +75,12 @@ def integerize(values: DataFrame, value: str = "value", atol: float = 1e-3, low:
     whole = values.agg(F.coalesce(F.bool_and((v >= low) & (F.abs(v - F.rint(v)) <= atol)), F.lit(True)).alias("ok"), F.coalesce(F.max(F.rint(v)), F.lit(0.0)).cast("long").alias("top"))
     kind = F.when(~F.col("ok"), F.lit(None)).when(F.col("top") < 1 << 16, "u16").when(F.col("top") < 1 << 32, "u32")
     return whole.select("ok", "top", kind.alias("dtype"))
+
+
+def integerize_matrix(matrix: Matrix, atol: float = 1e-3, low: float = -1e-4) -> Matrix:
+    """Counts kept as floats, as the unsigned type that holds them; refused if any is negative or not an integer."""
+    got = integerize(matrix.coo(), "value", atol, low).first()
+    if not got.ok or got.dtype is None:
+        raise ConversionError("the values are not counts")
+    d = dtype(got.dtype)
+    return replace(matrix, frame=matrix.frame.withColumn("values", F.transform("values", lambda v: F.rint(v).cast(d.spark))), dtype=d)

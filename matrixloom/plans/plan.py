@@ -271,6 +271,27 @@ def compile(datasets: Dataset | Iterable[Dataset], rows: Any, *, output: OutputS
     return Plan(spark, sources, template)
 
 
+def planned(datasets: Dataset | Iterable[Dataset], request: DataFrame, *, output: OutputSpec | None = None, batch_size: int = 256) -> DataFrame:
+    """(pos, batch_id, values) of a request that is itself a table (pos, source_id, row) of any size.
+
+    Nothing of the request comes to the driver. A row that a source does not have fails the job.
+    """
+    sources = [datasets] if isinstance(datasets, Dataset) else list(datasets)
+    output, batch_size = infer_output(sources, output), as_int(batch_size, "batch_size", 1)
+    sizes = int_array([s.n_rows for s in sources], "bigint")
+    known = F.get(sizes, F.col("source_id").cast("int"))
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("[corrupt] no row"), F.col("row").cast("string"), F.lit("in source"), F.col("source_id").cast("string"))).cast("long")
+    checked = request.withColumn("row", F.when((F.col("row") >= 0) & (F.col("row") < F.coalesce(known, F.lit(0))), F.col("row").cast("long")).otherwise(wrong))
+    # rows of no source are checked with the first source's
+    own = [F.col("source_id") == i for i in range(len(sources))]
+    own[0] = ~F.col("source_id").isin(list(range(1, len(sources)))) if len(sources) > 1 else F.lit(True)
+    parts = [source_rows(s.matrix, checked.where(mine).select(F.col("pos").cast("long").alias("pos"), "row"), s.feature_map, output) for s, mine in zip(sources, own)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("batch_id", F.expr(f"pos div {batch_size}")).select("pos", "batch_id", "values")
+
+
 def prefetch(datasets: Any, rows: Any, *, output: OutputSpec | None = None, batch_size: int = 256, prefetch_step: int = 8, plan_config: PlanConfig | None = None, config: Any = None, copy: bool = False):
     """Compiles and returns the lazy iterator over batches."""
     return compile(datasets, rows, output=output, batch_size=batch_size, prefetch_step=prefetch_step, config=plan_config).prefetch(config, copy=copy)

@@ -46,6 +46,14 @@ class Store:
     def __getitem__(self, key: Any):
         return self.matrix[key]
 
+    def to_numpy(self) -> np.ndarray:
+        n, m = self.matrix.shape
+        if n * m * self.matrix.dtype.itemsize > self.limits.max_decoded_bytes:
+            raise ResourceLimitError(f"{n} x {m} values exceed max_decoded_bytes; select less or read batches")
+        return self.matrix.to_numpy()
+
+    toarray = todense = to_numpy
+
     def __array__(self, dtype: Any = None, copy: Any = None) -> np.ndarray:
         return self.matrix.__array__(dtype)
 
@@ -177,6 +185,20 @@ def open_store(spark: SparkSession, path: str, *, limits: ReadLimits | None = No
     return Store(files, generation, meta, matrix, limits)
 
 
+def _open_kind(kind: str):
+    def opened(spark: SparkSession, path: str, **how: Any) -> Store:
+        store = open_store(spark, path, **how)
+        if store.meta["kind"] != kind:
+            raise ValueError(f"{path} is {store.meta['kind']}, not {kind}")
+        return store
+
+    opened.__doc__ = f"open_store for {kind} matrices only."
+    return opened
+
+
+open_dense, open_csr = _open_kind("dense"), _open_kind("csr")
+
+
 def expire(store: Store) -> list[str]:
     """Deletes all generations but the current one; readers of old ones lose them."""
     current = store.files.read(CURRENT).strip()

@@ -260,3 +260,32 @@ def test_plan_is_lazy_and_joins_once(dense):
     text = plans.compile(dense, [3, 1]).frame()._jdf.queryExecution().executedPlan().toString()
     assert text.count("Join") == 1 and "CartesianProduct" not in text
     assert dense.matrix.frame.where(F.col("row") == 1).count() == 1
+
+
+def test_requests_as_tables(spark, tmp_path, dense):
+    other = sparse(spark, tmp_path / "s").with_feature_map([0, 1, None, 2, 3])
+    rows = [(0, 0, 3), (1, 1, 2), (2, 0, 3), (3, 1, 1)]
+    frame = spark.createDataFrame(rows, "pos long, source_id int, row long")
+    first = dense.with_feature_map([2, None, 0])
+    spec = ml.OutputSpec(4, "f32", fill=-1)
+    got = [list(r["values"]) for r in ml.planned([first, other], frame, output=spec, batch_size=2).orderBy("pos").collect()]
+    assert got == ml.compile([first, other], [(s, r) for _, s, r in rows], output=spec).read().tolist()
+    for bad in ((0, 0, 9), (0, 7, 0), (0, 1, -1)):
+        with pytest.raises(Exception, match="no row"):
+            ml.planned([first, other], spark.createDataFrame([bad], frame.schema), output=spec).collect()
+
+
+def test_rows_by_table_and_counts(spark, dense):
+    m = dense.matrix
+    picked = m.gather(spark.createDataFrame([(0, 3), (1, 0), (2, 3)], "pos long, row long"))
+    assert picked.to_numpy().tolist() == X[[3, 0, 3]].tolist()
+    assert m.keep(spark.createDataFrame([(3,), (1,), (3,)], "row long")).to_numpy().tolist() == X[[1, 3]].tolist()
+    counts = ml.integerize_matrix(m)
+    assert counts.dtype.name == "u16" and counts.to_numpy().tolist() == X.astype(int).tolist()
+    with pytest.raises(errors.ConversionError):
+        ml.integerize_matrix(ml.dense_from_numpy(spark, X - 0.5))
+    assert ml.storable(np.array([True])).dtype == np.uint16 and ml.storable(np.array([1], ">f4")).dtype == np.float32 and ml.storable(np.array([1], np.int8)).dtype == np.int16
+    with pytest.raises(ValueError):
+        ml.open_csr(spark, dense.path)
+    with pytest.raises(errors.ResourceLimitError):
+        ml.open_dense(spark, dense.path, limits=ml.ReadLimits(max_decoded_bytes=10)).to_numpy()
