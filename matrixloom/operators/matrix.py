@@ -166,17 +166,21 @@ class DenseFrame(Matrix):
 class CsrFrame(Matrix):
     kind = "csr"
 
+    def _summary(self) -> dict:
+        """Entries and index type, in one pass where the store does not tell."""
+        if not {"nnz", "index_dtype"} <= self.meta.keys():
+            got = self.frame.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0)).cast("long"), F.max(F.array_max("indices"))).first()
+            self.meta.update(nnz=got[0], index_dtype="u16" if got[1] is None or got[1] < 1 << 16 else "u32")
+        return self.meta
+
     @property
     def nnz(self) -> int:
-        if "nnz" in self.meta:
-            return self.meta["nnz"]
-        return self.frame.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0)).cast("long")).first()[0]
+        return self.meta["nnz"] if "nnz" in self.meta else self._summary()["nnz"]
 
     @property
     def index_dtype(self) -> str:
         """u16 where all column indices fit (and for no entries), else u32."""
-        top = self.frame.agg(F.bit_or(F.aggregate("indices", F.lit(0), lambda a, i: a.bitwiseOR(i)))).first()[0]
-        return "u16" if not top or top < 1 << 16 else "u32"
+        return self._summary()["index_dtype"]
 
     def _columns(self, frame: DataFrame, spec: AxisSpec) -> DataFrame:
         entries = F.arrays_zip("indices", "values")
@@ -292,9 +296,12 @@ def storable(array: Any) -> np.ndarray:
 
 
 def canonical_rows(coo: DataFrame, value: str = "value") -> DataFrame:
-    """(row, indices, values) of (row, col, value) entries: duplicate coordinates are summed, columns ascend."""
+    """(row, indices, values) of (row, col, value) entries: duplicate coordinates are summed, columns ascend.
+
+    One shuffle, by row, serves both groupings; coordinates hardly repeat, so combining before it would not pay.
+    """
     kind = coo.schema[value].dataType
-    summed = coo.groupBy("row", "col").agg(F.sum(value).cast(kind).alias("v"))
+    summed = coo.repartition("row").groupBy("row", "col").agg(F.sum(value).cast(kind).alias("v"))
     rows = summed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "v"))).alias("e"))
     return rows.select(F.col("row").cast("long").alias("row"), F.transform("e", lambda x: x["c"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values"))
 

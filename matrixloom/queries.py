@@ -44,9 +44,12 @@ def entries(spark: SparkSession, sf: str, cols: int | None = None) -> DataFrame:
     return line.select(F.col("l_orderkey").alias("row"), col.cast("int").alias("col"), F.col("l_quantity").alias("value"))
 
 
-def quantities(spark: SparkSession, sf: str, cols: int | None = None) -> CsrFrame:
+def quantities(spark: SparkSession, sf: str, cols: int | None = None, rows: Callable[[int], DataFrame] | None = None) -> CsrFrame:
+    """Order x part quantities; of the rows in a table (row) only, where a function of n_rows gives one."""
     coo = entries(spark, sf, cols)
     top = coo.agg(F.max("row"), F.max("col")).first()
+    if rows is not None:  # a grouping by row hides the request from the scan, so it goes in front
+        coo = coo.join(rows(top[0] + 1).select("row").distinct(), "row", "left_semi")
     return CsrFrame(canonical_rows(coo), top[0] + 1, cols or top[1] + 1, DTYPES["f64"])
 
 
@@ -84,13 +87,14 @@ FROM req CROSS JOIN range(40) outc(o) LEFT JOIN embeddings e ON source_id = 0 AN
 LEFT JOIN fm ON source_id = 1 AND fm.o = outc.o LEFT JOIN qty64 q ON source_id = 1 AND q.row = req.row AND q.col = fm.c""")
 def flagship_batch_load(spark: SparkSession, sf: str) -> DataFrame:
     """Interleaved rows of a dense and a sparse source, columns mapped, gaps filled, in batches of 64."""
-    dense, sparse = embeddings(spark, sf), quantities(spark, sf, 64)
     request = spark.range(300).withColumnRenamed("id", "pos")
+    odd = lambda n: request.where("pos % 2 = 1").select("pos", (F.col("pos") * 7919 % n).alias("row"))
+    dense, sparse = embeddings(spark, sf), quantities(spark, sf, 64, odd)
     output = OutputSpec(40, "f64", fill=-1)
     even = tuple(c // 2 if c % 2 == 0 else None for c in range(64))
     shifted = tuple((c + 3) % 40 if c < 40 and c % 3 else None for c in range(64))
     a = source_rows(dense, request.where("pos % 2 = 0").select("pos", (F.col("pos") * 37 % dense.n_rows).alias("row")), even, output)
-    b = source_rows(sparse, request.where("pos % 2 = 1").select("pos", (F.col("pos") * 7919 % sparse.n_rows).alias("row")), shifted, output)
+    b = source_rows(sparse, odd(sparse.n_rows), shifted, output)
     return wide(a.unionByName(b)).withColumn("batch_id", F.expr("pos div 64"))
 
 
@@ -100,10 +104,11 @@ req AS (SELECT p AS pos, CASE WHEN p % 3 = 1 THEN 1 ELSE 0 END AS s, CASE WHEN p
 SELECT CAST(pos AS BIGINT) AS pos, CAST(o AS INTEGER) AS col, CAST(CASE WHEN s = 0 THEN CASE o WHEN 0 THEN p_size - 25 WHEN 1 THEN p_size ELSE -p_size END ELSE coalesce(q.value, 0) END AS DOUBLE) AS value
 FROM req CROSS JOIN range(3) c(o) LEFT JOIN part ON s = 0 AND p_partkey = req.row LEFT JOIN q ON s = 1 AND q.row = req.row AND q.col = c.o""")
 def multi_source_interleave(spark: SparkSession, sf: str) -> DataFrame:
-    dense, sparse = sizes(spark, sf), quantities(spark, sf, 3)
     request, output = spark.range(400).withColumnRenamed("id", "pos"), OutputSpec(3, "f64")
+    third = lambda n: request.where("pos % 3 = 1").select("pos", (F.col("pos") * 7919 % n).alias("row"))
+    dense, sparse = sizes(spark, sf), quantities(spark, sf, 3, third)
     a = source_rows(dense, request.where("pos % 3 <> 1").select("pos", (F.col("pos") * 31 % dense.n_rows).alias("row")), None, output)
-    b = source_rows(sparse, request.where("pos % 3 = 1").select("pos", (F.col("pos") * 7919 % sparse.n_rows).alias("row")), None, output)
+    b = source_rows(sparse, third(sparse.n_rows), None, output)
     return wide(a.unionByName(b))
 
 
@@ -123,10 +128,10 @@ SELECT CAST(p AS BIGINT) AS pos, CAST(outc.o AS INTEGER) AS col, CAST(CASE WHEN
 FROM range(300) r(p) CROSS JOIN range(52) outc(o) LEFT JOIN fm ON fm.o = outc.o LEFT JOIN qty64 q ON q.row = (p * 13) % {NO} AND q.col = fm.c""")
 def csr_feature_map_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Absent entries are 0, unmapped columns the fill, also in rows without entries."""
-    m = quantities(spark, sf, 64)
+    asked = lambda n: spark.range(300).select(F.col("id").alias("pos"), (F.col("id") * 13 % n).alias("row"))
+    m = quantities(spark, sf, 64, asked)
     to = tuple(49 - c if c < 50 and c % 4 != 1 else None for c in range(64))
-    request = spark.range(300).select(F.col("id").alias("pos"), (F.col("id") * 13 % m.n_rows).alias("row"))
-    return wide(source_rows(m, request, to, OutputSpec(52, "f64", fill=-9)))
+    return wide(source_rows(m, asked(m.n_rows), to, OutputSpec(52, "f64", fill=-9)))
 
 
 @query("SELECT o_orderkey AS pos, CAST(o_orderkey // 256 AS BIGINT) AS batch_id, CAST(o_orderkey % 256 AS BIGINT) AS place FROM orders")
