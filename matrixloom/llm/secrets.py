@@ -123,7 +123,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans: one row per input row.
 
     Nulls and empty texts have no spans (the hash of an empty string). Spans are kind:start:end in code
-    points, end exclusive, by start and then kind. A random span that equals a hex one is not repeated.
+    points, end exclusive, by start and then kind. A random span inside a fixed one is not repeated.
     Other columns of `docs` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -141,9 +141,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cut = F.create_map(*[x for (e, n), c in limits.items() for x in (F.lit(f"{e}:{n}"), F.lit(c))]) if limits else F.lit(None).cast("map<string,double>")
     passing = F.filter("tokens", lambda t: t["p"] >= F.coalesce(F.get(F.array(cut), F.lit(0))[F.concat_ws(":", t["enc"].cast("string"), t["len"].cast("string"))], F.lit(2.0)))
     added = F.transform(passing, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    new = F.filter(added, lambda a: ~F.exists(F.col("hex"), lambda h: (h["start"] == a["start"]) & (h["end"] == a["end"])))
-    count = lambda c: F.size(c).cast("long")
     fixed = F.concat("assign", "access", "hex")
+    new = F.filter(added, lambda a: ~F.exists(fixed, lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])))
+    count = lambda c: F.size(c).cast("long")
     return scan.withColumn("random", new).select(
         "doc_id",
         count("assign").alias("n_assign"),

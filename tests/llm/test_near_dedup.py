@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from matrixloom.llm import near_dedup as N
 
+from .oracle import SF, same
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
 
@@ -53,6 +55,10 @@ def test_matches_brute_force_on_documents(spark):
     assert out.where(F.col("kept") != (F.col("doc_id") == F.col("component_id"))).count() == 0
 
 
+def test_documents_match_sql(spark):
+    assert same(N.op1_near_dedup(spark, SF), N.ORACLE_SQL["op1_near_dedup"]) == 1000
+
+
 def test_chain_ties_and_hot_group(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 16)
     rng = random.Random(5)
@@ -81,6 +87,12 @@ def test_edges(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_without_id_and_repeated_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "g h i j k l"), (3, "g h i j k l"), (None, "g h i j k l"), (None, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True), (3, 3, True)]
+
+
 def test_index_guarantee():
     """Every signature pair within the distance shares an index key."""
     import numpy as np
@@ -94,7 +106,7 @@ def test_index_guarantee():
         b[at] ^= np.uint16(1)
         batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], names=["id", "sig"])
         out = next(N._index_keys(31, 16)([batch]))
-        k, i = out.column(0).to_numpy(), out.column(1).to_numpy()
+        k, i = out.column(0).to_numpy(), out.column(2).to_numpy()
         assert set(k[i == 1]) & set(k[i == 2])
     with pytest.raises(ValueError):
         N._plan(64, 16, 64)
