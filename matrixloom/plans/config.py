@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from ..sources.options import as_int
 
+# The names and defaults of all settings below are fixed values of the interface.
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 U32 = (1 << 32) - 1
 
