@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries a worker keeps in one word cache before it starts again (bounds its memory).
 CACHE_WORDS = 400_000
@@ -91,3 +92,21 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the map that `only` broadcasts (1 MB at most, whatever the number of ids).
+MAP_BITS = 1 << 23
+
+
+def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` (a long) is among the distinct `column` of ids; a semi-join that first sieves df.
+
+    A bitmap of fixed size over hashed ids, at most MAP_BITS / 64 rows by construction, is broadcast and
+    drops most other rows before wide columns are shuffled. The exact semi-join follows.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    bit = lambda s: F.expr(f"shiftleft(1L, cast({s} & 63 as int))")
+    words = ids.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__word")).agg(F.bit_or(bit("__slot")).alias("__bits"))
+    sieved = df.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(words), "__word")
+    sieved = sieved.where(F.col("__bits").bitwiseAND(bit("__slot")) != 0).select(*df.columns)
+    return sieved.join(ids.select(column).distinct(), column).select(*df.columns)  # the optimiser would move a semi-join below the sieve

@@ -78,6 +78,18 @@ def test_chain_ties_and_hot_group(spark, monkeypatch):
     assert result(N.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+def test_components_in_rounds_equal_one_task(spark, monkeypatch, tmp_path):
+    from matrixloom.llm._common import Scratch
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {(r.id, r.comp) for r in N.components(Scratch(spark, "t"), df, "one").collect()}
+    monkeypatch.setattr(N, "ONE_TASK_LINKS", 3)
+    assert one == {(r.id, r.comp) for r in N.components(Scratch(spark, "t"), df, "many").collect()}
+    assert (1040, 1000) in one
+
+
 def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "two words"), (9, "TWO words"), (10, "two  words"), (11, "x " * 30000), (12, "É a b c d"), (13, "é a b c d")]
     df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, id int")
