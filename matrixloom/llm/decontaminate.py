@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ._common import U64, Scratch, WordHashes, binary, gram_hashes, odd_multipliers, only, table
 
 MATCH, THRESHOLD = 5, 0.6
-#: Total characters of test items up to which their seeds are broadcast; beyond, seeds are joined.
-BROADCAST_CHARS = 32 << 20
+#: Total bytes of test items up to which their seeds are broadcast (some seven times as much); beyond, seeds are joined.
+BROADCAST_CHARS = 8 << 20
 
 STRIP = b".,;:!?\"'()[]{}<>|*#-_"
 
