@@ -6,8 +6,9 @@ Only suffixes that can share a long prefix with another are brought together:
    hash. Equal windows have equal anchors at equal offsets, so windows with an anchor gram that
    occurs once in the corpus are unique and are never shuffled.
 2. Consecutive windows with one anchor form a block. The anchor's 8-word prefix is the partition
-   key. Blocks of one key are a memory-sized group; keys with more than GROUP_BLOCKS blocks are split
-   by a longer prefix, the whole 35 words, and counted with map-side combination instead.
+   key. Blocks of one key are a memory-sized group. For keys with more than GROUP_BLOCKS blocks, blocks
+   of equal words are first counted as one, with map-side combination, and the different ones are
+   split by a longer prefix: all 35 words.
 3. In a group the suffix tree of the block suffixes is built from the root down, eight words an edge.
    Nodes with one leaf are dropped; internal nodes that reach 35 words are the repeats.
 4. Texts with equal word sequences are taken once: all their windows repeat.
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Scratch, WordHashes, binary, gram_hashes, table, words_of
+from ._common import U64, Scratch, WordHashes, binary, gram_hashes, only, table, words_of
 
 WINDOW, GRAM = 35, 8
-#: Blocks of one anchor gram that are put in one tree; beyond, windows are counted by their whole prefix.
-GROUP_BLOCKS = 4096
+#: Blocks of one anchor gram that are put in one tree (some 13 MB of words); beyond, they are split by a longer prefix.
+GROUP_BLOCKS = 32768
 #: Blocks that a task holds at once.
 BATCH_BLOCKS = 20_000
 
@@ -77,12 +78,13 @@ def _prints(batches):
 
 
 def _blocks(batches):
-    """Blocks of the windows whose anchor gram occurs again; windows of crowded grams alone, with their own hash."""
+    """Blocks of the windows whose anchor gram occurs again; c1 and c2 name the words of blocks of crowded grams."""
     hashes = WordHashes()
-    names = ["gram", "window", "doc_id", "digest", "start", "words"]
+    names = ["gram", "c1", "c2", "doc_id", "digest", "start", "words"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
     for batch in batches:
         out = [[] for _ in names]
-        for doc, text, digest, places, crowded in zip(*(batch.column(i).to_pylist() for i in (0,)), binary(batch.column(1)).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+        for doc, text, digest, places, crowded in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
             h = hashes.of(words_of(text))
             if _digest(h) != digest:
                 continue
@@ -91,23 +93,54 @@ def _blocks(batches):
             state = np.zeros(len(g), np.int8)
             state[places] = 1
             state[np.asarray(places)[np.asarray(crowded, bool)]] = 2
-            kind = state[at]
             first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
             last = np.append(first[1:], len(at))
-            for a, b in zip(first[kind[first] == 1].tolist(), last[kind[first] == 1].tolist()):
-                for column, value in zip(out, (int(g[at[a]].view(np.int64)), None, doc, digest, a, h[a : b + WINDOW - 1].tobytes())):
+            kind = state[at[first]]
+            for a, b, k in zip(first[kind > 0].tolist(), last[kind > 0].tolist(), kind[kind > 0].tolist()):
+                words = h[a : b + WINDOW - 1].tobytes()
+                name = np.frombuffer(xxhash.xxh3_128_digest(words), np.int64).tolist() if k == 2 else (None, None)
+                for column, value in zip(out, (int(g[at[a]].view(np.int64)), *name, doc, digest, a, words)):
                     column.append(value)
-            alone = np.flatnonzero(kind == 2)
-            if len(alone):
-                whole = gram_hashes(h, WINDOW, 29)[alone].view(np.int64).tolist()
-                check = gram_hashes(h, WINDOW, 31)[alone].view(np.int64).tolist()
-                for a, x, y in zip(alone.tolist(), whole, check):
-                    for column, value in zip(out, (x, y, doc, digest, a, None)):
-                        column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
 
 
+def _windows(batches):
+    """Rows (gram, c1, c2, many, inner, window): a hash of every window of each different block."""
+    for batch in batches:
+        h = [gram_hashes(np.frombuffer(w, U64), WINDOW, 29) for w in batch.column(4).to_pylist()]
+        size = np.array([len(x) for x in h], np.int64)
+        row = pa.array(np.repeat(np.arange(len(h)), size))
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        window = np.concatenate(h) if h else np.empty(0, U64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(4)), pa.array(inner.astype(np.int32)), pa.array(window.view(np.int64))], names=["gram", "c1", "c2", "many", "inner", "window"])
+
+
+def _runs(batches):
+    """(gram, c1, c2, runs): runs of consecutive windows, as covered words of the block."""
+    for batch in batches:
+        runs = []
+        for inner in batch.column(3).to_pylist():
+            i = np.sort(inner)
+            cut = np.flatnonzero(np.diff(i) > 1)
+            runs.append([{"from": int(a), "to": int(b) + WINDOW} for a, b in zip(i[np.r_[0, cut + 1]], i[np.r_[cut, len(i) - 1]])])
+        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(runs, kind)], names=["gram", "c1", "c2", "runs"])
+
+
+def _crowded_ranges(scratch: Scratch, blocks: DataFrame) -> DataFrame:
+    name = ["gram", "c1", "c2"]
+    contents = blocks.groupBy(*name).agg((F.count("*") > 1).alias("many"), F.first("words").alias("words"))
+    contents = scratch.keep(contents, "contents")
+    windows = contents.mapInArrow(_windows, "gram long, c1 long, c2 long, many boolean, inner int, window long")
+    often = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    partly = windows.where("not many").join(often, ["gram", "window"], "left_semi").groupBy(*name).agg(F.collect_list("inner").alias("inner"))
+    partly = partly.mapInArrow(_runs, "gram long, c1 long, c2 long, runs array<struct<from:int,to:int>>")
+    whole = contents.where("many").select(*name, F.array(F.struct(F.lit(0).alias("from"), F.expr("cast(octet_length(words) div 8 as int)").alias("to"))).alias("runs"))
+    runs = scratch.keep(whole.unionByName(partly), "runs")
+    found = blocks.select(*name, "doc_id", "digest", "start").join(runs, name).select("doc_id", "digest", "start", F.explode("runs").alias("r"))
+    return found.select("doc_id", "digest", (F.col("start") + F.col("r.from")).alias("from"), (F.col("start") + F.col("r.to")).alias("to"))
+
+
 def deep_nodes(keys: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(block, window) of all windows below an internal node at depth WINDOW.
 
@@ -208,20 +241,17 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     prints = scratch.keep(docs.mapInArrow(_prints, "doc_id long, n_words long, digest binary, sha string, grams array<long>, places array<int>"), "prints")
     one = scratch.keep(prints.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(F.struct("doc_id", "grams", "places")).alias("one"), F.count("*").alias("copies")), "one")
     spots = one.select("one.doc_id", "digest", "copies", F.explode(F.arrays_zip("one.grams", "one.places")).alias("at")).select("doc_id", "digest", F.col("at.grams").alias("gram"), F.col("at.places").alias("place"))
-    again = spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join's sides are both plain exchanges and Spark can split a hot gram's side
+    again = scratch.keep(spots.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "again")
     spots = spots.join(again, "gram").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places"), F.collect_list(F.col("n") > GROUP_BLOCKS).alias("crowded"))
-    blocks = docs.join(spots, "doc_id").select("doc_id", "text", "digest", "places", "crowded").mapInArrow(_blocks, "gram long, window long, doc_id long, digest binary, start int, words binary")
-    blocks = scratch.keep(blocks, "blocks")
-
-    small = blocks.where("words is not null").select("gram", "doc_id", "digest", "start", "words")
-    kind = "doc_id long, digest binary, `from` int, `to` int"
-    ranges = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees, kind)
-    large = blocks.where("words is null").select("gram", "window", "doc_id", "digest", "start")
-    often = large.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    large = large.join(often, ["gram", "window"], "left_semi")
-    ranges = ranges.unionByName(large.select("doc_id", "digest", F.col("start").alias("from"), (F.col("start") + WINDOW).alias("to")))
+    blocks = docs.join(spots, "doc_id").select("doc_id", "text", "digest", "places", "crowded")
+    blocks = scratch.keep(blocks.mapInArrow(_blocks, "gram long, c1 long, c2 long, doc_id long, digest binary, start int, words binary"), "blocks")
+
+    small = blocks.where("c1 is null").select("gram", "doc_id", "digest", "start", "words")
+    ranges = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_trees, "doc_id long, digest binary, `from` int, `to` int")
+    ranges = ranges.unionByName(_crowded_ranges(scratch, blocks.where("c1 is not null")))
     ranges = scratch.keep(ranges, "ranges")
-    scratch.drop("blocks")
+    scratch.drop("again", "blocks", "contents", "runs")
     return prints.select("doc_id", "n_words", "digest", "sha").join(one.select("digest", "copies"), "digest", "left"), ranges
 
 
@@ -237,7 +267,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints, ranges = repeated_ranges(base, scratch)
     marks = ranges.join(prints.where("copies > 1").select("digest").distinct(), "digest", "left_anti")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "from", "to")).alias("marks"))
-    cut = base.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_remove, "doc_id long, digest binary, removed long, kept_sha string")
+    cut = only(base, marks, "doc_id").join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_remove, "doc_id long, digest binary, removed long, kept_sha string")
     cut = cut.dropDuplicates(["doc_id", "digest"])
     all_gone = F.coalesce(F.col("copies") > 1, F.lit(False))
     return prints.join(cut, ["doc_id", "digest"], "left").select(
