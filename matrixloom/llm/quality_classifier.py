@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, MIX1, U64, binary, table, words_of
+from ._common import CACHE_WORDS, MIX1, U64, binary, mix, odd_multipliers, table, words_of
 
 BUCKETS, DIM = 1 << 16, 12
 GRAMS = (3, 5)
@@ -34,13 +34,27 @@ def trim(word: bytes) -> bytes:
     return word if len(word) <= WORD_BYTES else word[: WORD_BYTES // 2] + word[-WORD_BYTES // 2 :]
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Buckets of the word (trimmed) and of its character n-grams, ends marked."""
-    marked = b"<" + word + b">"
-    out = [xxhash.xxh3_64_intdigest(word)]
+_MULTIPLIERS = odd_multipliers(GRAMS[1] + 1, 41)
+
+
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sizes): of each trimmed word, then of its character n-grams with ends marked; sizes tell them apart."""
+    marked = [b"<" + w + b">" for w in words]
+    length = np.array([len(m) for m in marked], np.int64)
+    byte = np.frombuffer(b"".join(marked), np.uint8).astype(U64) + U64(1)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(byte))  # bytes to the end of the own word
+    owner = np.repeat(np.arange(len(words)), length)
+    own, hashed = [np.arange(len(words))], [np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64)]
     for n in range(GRAMS[0], GRAMS[1] + 1):
-        out += [xxhash.xxh3_64_intdigest(marked[i : i + n], n) for i in range(len(marked) - n + 1)]
-    return (np.array(out, U64) % U64(BUCKETS)).astype(np.int64)
+        h = np.full(max(len(byte) - n + 1, 0), n, U64) * _MULTIPLIERS[-1]
+        for k in range(n):
+            h += byte[k : k + len(h)] * _MULTIPLIERS[k]
+        whole = left[: len(h)] >= n
+        own.append(owner[: len(h)][whole])
+        hashed.append(mix(h[whole]))
+    own, hashed = np.concatenate(own), np.concatenate(hashed)
+    order = np.argsort(own, kind="stable")
+    return (hashed[order] % U64(BUCKETS)).astype(np.int64), np.bincount(own, minlength=len(words))
 
 
 def pair_features(h: np.ndarray) -> np.ndarray:
@@ -60,15 +74,11 @@ def sampled_runs(text: bytes | None, seed: int) -> list[bytes]:
     return [b" ".join(map(trim, words))]
 
 
-def run_features(runs: list[bytes], remembered: dict) -> np.ndarray:
+def run_features(runs: list[bytes]) -> np.ndarray:
     out = [np.empty(0, np.int64)]
     for run in map(bytes.split, runs):
-        for w in run:
-            if w not in remembered:
-                remembered[w] = word_features(w)
-            out.append(remembered[w])
         if run:
-            out.append(pair_features(np.array([xxhash.xxh3_64_intdigest(w) for w in run], U64)))
+            out += [word_features(run)[0], pair_features(np.array([xxhash.xxh3_64_intdigest(w) for w in run], U64))]
     return np.concatenate(out)
 
 
@@ -78,8 +88,7 @@ def train(texts: list[list[bytes]], labels: list[int]) -> tuple[np.ndarray, floa
     y = np.asarray(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart: a constant near the only label
         return np.zeros(BUCKETS), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0)
-    remembered: dict = {}
-    features = [run_features(t, remembered) for t in texts]
+    features = [run_features(t) for t in texts]
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = rng.uniform(-0.5, 0.5, (DIM, 2)), np.zeros(2)
@@ -116,46 +125,44 @@ class Scorer:
 
     def __init__(self, values: np.ndarray, bias: float):
         self.values, self.bias = values, bias
-        self.words: dict[bytes, int] = {}
-        self.sums: list[tuple[int, float, int]] = []
-
-    def _word(self, word: bytes) -> int:
-        short = trim(word)
-        f = word_features(short)
-        i = self.words[word] = self.used
-        if i >= len(self.hash):
-            for name in ("hash", "sum", "n"):
-                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-        self.hash[i], self.sum[i], self.n[i] = xxhash.xxh3_64_intdigest(short), self.values[f].sum(), len(f)
-        self.used += 1
-        return i
+        self._start()
 
     def _start(self) -> None:
+        self.words: dict[bytes, int] = {}
         self.used = 0
         self.hash, self.sum, self.n = np.zeros(4096, U64), np.zeros(4096), np.zeros(4096, np.int64)
 
+    def _add(self, words: list[bytes]) -> None:
+        short = list(map(trim, words))
+        buckets, sizes = word_features(short)
+        a, b = self.used, self.used + len(words)
+        while b > len(self.hash):
+            for name in ("hash", "sum", "n"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        self.hash[a:b] = [xxhash.xxh3_64_intdigest(w) for w in short]
+        self.sum[a:b] = np.add.reduceat(self.values[buckets], np.cumsum(sizes) - sizes)
+        self.n[a:b] = sizes
+        self.words.update(zip(words, range(a, b)))
+        self.used = b
+
     def __call__(self, text: bytes | None) -> float:
         words = words_of(text)
         if not words:
-            return 1 / (1 + np.exp(-self.bias))
-        if not self.words:
-            self._start()
-        total, count, last = 0.0, 0, None
+            return float(1 / (1 + np.exp(-self.bias)))
+        total, count, last = 0.0, 0, np.empty(0, U64)
         for a in range(0, len(words), 50_000):  # in parts: the cache is emptied between them only
             part = words[a : a + 50_000]
             if len(self.words) + len(part) > CACHE_WORDS:
-                self.words.clear()
                 self._start()
-            get = self.words.get
-            at = np.fromiter([i if (i := get(w)) is not None else self._word(w) for w in part], np.int64, len(part))
-            h = self.hash[at]
-            total += self.sum[at].sum()
-            count += int(self.n[at].sum())
-            h = h if last is None else np.concatenate([[last], h])
-            if len(h) > 1:
-                total += self.values[pair_features(h)].sum()
-                count += len(h) - 1
-            last = h[-1]
+            at = list(map(self.words.get, part))
+            if None in at:
+                self._add(list(dict.fromkeys(w for w, i in zip(part, at) if i is None)))
+                at = list(map(self.words.__getitem__, part))
+            at = np.array(at, np.int64)
+            h = np.concatenate([last, self.hash[at]])
+            total += self.sum[at].sum() + self.values[pair_features(h)].sum()
+            count += int(self.n[at].sum()) + len(h) - 1
+            last = h[-1:]
         return float(1 / (1 + np.exp(-(total / count + self.bias))))
 
 

@@ -27,11 +27,20 @@ def test_scorer_equals_plain_average(monkeypatch):
     scorer = Q.Scorer(values, 0.25)
     for n in (1, 2, 7, 400):
         words = [bytes(rng.integers(97, 123, rng.integers(1, 80), dtype=np.uint8)) if rng.random() < 0.5 else b"again" for _ in range(n)]
-        f = Q.run_features([b" ".join(map(Q.trim, words))], {})
+        f = Q.run_features([b" ".join(map(Q.trim, words))])
         want = 1 / (1 + np.exp(-(values[f].mean() + 0.25)))
         assert abs(scorer(b"  ".join(words)) - want) < 1e-9
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = [b"a", b"bc", b"def", "\u00e9\u00e8".encode(), b"a", b"x" * 48]
+    flat, sizes = Q.word_features(words)
+    assert sizes.tolist() == [1 + sum(max(0, len(w) + 2 - n + 1) for n in (3, 4, 5)) for w in words]
+    parts = np.split(flat, np.cumsum(sizes)[:-1])
+    for w, p in zip(words, parts):
+        assert Q.word_features([w])[0].tolist() == p.tolist()
+
+
 def test_edges(spark):
     rows = [(1, None), (1, None), (2, ""), (3, " \n"), (4, "x" * 100000), (5, "a b " * 40000), (None, "text")]
     docs = spark.createDataFrame([(d, t, 0.5, 1) for d, t in rows], "doc_id long, text string, score double, quality int")
