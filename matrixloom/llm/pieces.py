@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from ._common import Scratch, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 15
-#: Words that a worker remembers.
-CACHE = 200_000
+#: Words that a worker remembers (some 180 MB). The first ones it meets hold the frequent ones, so a full memory is
+#: kept until STALE times as many words were not in it.
+CACHE, STALE = 700_000, 4
 MARK = "▁"
 NO = float("-inf")
 #: Below the lowest score, for characters without a piece (as the library has it).
@@ -100,8 +102,16 @@ class Model:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.unit = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.alone = frozenset(alone)
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.missed = 0
+        #: Lengths, longest first, of the pieces that can end in these four characters.
+        self.tails: dict[str, tuple[int, ...]] = {}
+        for p in self.ids:
+            if len(p) > 3:
+                self.tails[p[-4:]] = (*self.tails.get(p[-4:], ()), len(p))
+        self.tails = {t: (*sorted(set(n), reverse=True), 3, 2, 1) for t, n in self.tails.items()}
+        self.raw = [bytes((self.byte_of[i],)) if i in self.byte_of else b"" if i in self.controls else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
     # --- the lattice -------------------------------------------------------------------------
 
@@ -120,11 +130,17 @@ class Model:
         return s
 
     def compatible(self, a: str, b: str) -> bool:
-        got = self.agree.get((a, b))
+        """Whether the model takes a and b side by side; characters without a piece merge with nothing."""
+        x, y = self.ids.get(a), self.ids.get(b)
+        return x is None or y is None or self.agreed(x << 32 | y)
+
+    def agreed(self, key: int) -> bool:
+        got = self.agree.get(key)
         if got is None:
             if len(self.agree) > 2_000_000:
                 self.agree.clear()
-            got = self.agree[a, b] = self.merged(a + b) == [a, b]
+            a, b = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
+            got = self.agree[key] = self.merged(a + b) == [a, b]
         return got
 
     def weight(self, piece: str) -> float:
@@ -221,26 +237,17 @@ class Model:
             out: list[int] = []
             self.piece_ids(word, 0, [1], out)
             return out
+        if self.bpe:
+            return self.merged_ids(word) if word[0] == MARK == word[1] else self.bpe_word(word)
         n, ids, longest = len(word), self.ids, self.longest
         last = [0] * (n + 1)  # start of the piece that ends a best path to each place
-        if self.bpe:
-            if word[1] == MARK and word[0] == MARK:  # runs of marks merge with equal scores: the whole lattice
-                return self.merged_ids(word)
-            for b in range(1, n + 1):
-                for a in range(max(0, b - longest), b):
-                    if b - a > 1 and word[a:b] not in ids:
-                        continue
-                    if a == 0 or self.compatible(word[last[a] : a], word[a:b]):
-                        last[b] = a
-                        break
-        else:
-            score = [0.0] + [NO] * n
-            for b in range(1, n + 1):
-                for a in range(max(0, b - longest), b):
-                    if b - a > 1 and word[a:b] not in ids:
-                        continue
-                    if (s := score[a] + self.weight(word[a:b])) > score[b]:
-                        score[b], last[b] = s, a
+        score = [0.0] + [NO] * n
+        for b in range(1, n + 1):
+            for a in range(max(0, b - longest), b):
+                if b - a > 1 and word[a:b] not in ids:
+                    continue
+                if (s := score[a] + self.weight(word[a:b])) > score[b]:
+                    score[b], last[b] = s, a
         ends, b = [], n
         while b:
             ends.append(b)
@@ -249,27 +256,68 @@ class Model:
         self.piece_ids(word, 0, ends[::-1], out)
         return out
 
+    def bpe_word(self, word: str) -> list[int]:
+        """The only path of compatible neighbours; each place is ended by one piece, whatever follows. Runs of marks excepted."""
+        n, ids, tails, agree = len(word), self.ids, self.tails, self.agree
+        last, at = [0] * (n + 1), [-1] * (n + 1)
+        for b in range(1, n + 1):
+            for k in tails.get(word[b - 4 : b], (3, 2, 1)) if b > 3 else (3, 2, 1):
+                if k > b:
+                    continue
+                i = ids.get(word[b - k : b], -1)
+                if i < 0:
+                    if k > 1:
+                        continue
+                elif k < b and (before := at[b - k]) >= 0:
+                    key = before << 32 | i
+                    ok = agree.get(key)
+                    if not (self.agreed(key) if ok is None else ok):
+                        continue
+                last[b], at[b] = b - k, i
+                break
+        out, b = [], n
+        while b:
+            if at[b] >= 0:
+                out.append(at[b])
+            elif self.bytes:
+                out.extend([self.bytes[c] for c in reversed(word[b - 1].encode("utf-8", "surrogatepass"))])
+            else:
+                out.append(self.unknown)
+            b = last[b]
+        out.reverse()
+        return out
+
     def merged_ids(self, word: str) -> list[int]:
         ends, out = np.cumsum([len(s) for s in self.merged(word)]).tolist(), []
         self.piece_ids(word, 0, ends, out)
         return out
 
-    def encode_marked(self, text: str, out: list[int]) -> None:
+    def new_word(self, word: str) -> list[int]:
+        if len(word) > 256:
+            return self.long(word)
+        ids = self.word(word)
+        if len(self.words) < CACHE:
+            self.words[word] = ids
+        else:
+            self.missed += 1
+            if self.missed >= STALE * CACHE:
+                self.words, self.missed = {}, 0
+        return ids
+
+    def lists(self, text: str) -> list[list[int]]:
+        """Pieces of each word of a marked text."""
         if not self.by_word:
-            out.extend(self.word(text) if len(text) < 4096 else self.long(text))
-            return
-        words, get = self.words, self.words.get
-        extend = out.extend
-        for w in self.unit.findall(text):
-            ids = get(w)
-            if ids is None:
-                if len(w) > 256:
-                    extend(self.long(w))
-                    continue
-                if len(words) >= CACHE:
-                    words.clear()
-                ids = words[w] = self.word(w)
-            extend(ids)
+            return [self.word(text) if len(text) < 4096 else self.long(text)] if text else []
+        units = self.unit.findall(text)
+        out = list(map(self.words.get, units))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = self.words.get(units[i]) or self.new_word(units[i])  # it may have come up earlier in this text
+        return out
+
+    def encode_marked(self, text: str, out: list[int]) -> None:
+        out.extend(chain.from_iterable(self.lists(text)))
 
     def long(self, text: str) -> list[int]:
         out: list[int] = []
@@ -289,14 +337,7 @@ class Model:
         return out
 
     def decode(self, ids) -> str:
-        pieces, byte_of, controls = self.pieces, self.byte_of, self.controls
-        ids = [i for i in ids if i not in controls] if not controls.isdisjoint(ids) else ids
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([pieces[i] for i in ids])
-        else:
-            raw = [bytes((byte_of[i],)) if i in byte_of else pieces[i].encode() for i in ids]
-            text = b"".join(raw).decode("utf-8", "replace")
-        text = text.replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
     # --- chunks of one marked text -----------------------------------------------------------
@@ -409,7 +450,7 @@ def _model(path: str) -> Model:
 def _ids_column(lists: list[list[int]]) -> pa.Array:
     ends = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=ends[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, ends[-1])
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
