@@ -312,8 +312,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sigs = classes.where("id is not null").select("id", "sig")
 
     keyed = sigs.mapInArrow(_index_keys(different, chunks), "key long, way int, id long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.keep(keyed.join(shared, "key"), "shared")
+    # written, so that the join's sides are both plain exchanges and Spark can split a hot key's side
+    met = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    shared = scratch.keep(keyed.join(met, "key"), "shared")
+    scratch.drop("met")
 
     def texts(ids: DataFrame) -> DataFrame:
         return only(base, ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
