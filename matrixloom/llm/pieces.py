@@ -29,9 +29,9 @@ from ._common import Scratch, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 15
-#: Words that a worker remembers (some 180 MB). The first ones it meets hold the frequent ones, so a full memory is
+#: Words that a worker remembers (some 80 MB, kept between tasks). The first ones it meets hold the frequent ones, so a full memory is
 #: kept until STALE times as many words were not in it.
-CACHE, STALE = 700_000, 4
+CACHE, STALE = 300_000, 8
 MARK = "▁"
 NO = float("-inf")
 #: Below the lowest score, for characters without a piece (as the library has it).
