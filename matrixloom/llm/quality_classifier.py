@@ -21,8 +21,10 @@ from ._common import CACHE_WORDS, MIX1, U64, binary, mix, odd_multipliers, table
 
 BUCKETS, DIM = 1 << 16, 12
 GRAMS = (3, 5)
-#: Longer words stand as their two ends.
+#: Longer words are scored whole but not remembered.
 WORD_BYTES = 48
+#: Features are made for so many bytes at once; a longer word comes in parts.
+PART_BYTES = 1 << 18
 #: Labelled rows that training reads at most (the smallest hashes of doc_id), and words taken of each, in runs.
 MAX_TRAIN_ROWS, MAX_TRAIN_WORDS, RUN_WORDS = 5000, 200, 20
 #: At least so many passes and so many steps of so many rows.
@@ -31,14 +33,15 @@ THRESHOLD = 0.3
 
 
 def trim(word: bytes) -> bytes:
-    return word if len(word) <= WORD_BYTES else word[: WORD_BYTES // 2] + word[-WORD_BYTES // 2 :]
+    """A word as features see it: whole, whatever its length."""
+    return word
 
 
 _MULTIPLIERS = odd_multipliers(GRAMS[1] + 1, 41)
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, sizes): of each trimmed word, then of its character n-grams with ends marked; sizes tell them apart."""
+    """(buckets, sizes): of each word, then of its character n-grams with ends marked; sizes tell them apart."""
     marked = [b"<" + w + b">" for w in words]
     length = np.array([len(m) for m in marked], np.int64)
     byte = np.frombuffer(b"".join(marked), np.uint8).astype(U64) + U64(1)
@@ -57,6 +60,37 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (hashed[order] % U64(BUCKETS)).astype(np.int64), np.bincount(own, minlength=len(words))
 
 
+def long_word_features(word: bytes):
+    """The buckets of word_features([word]), in another order, some PART_BYTES n-grams of each size at a time."""
+    yield np.array([xxhash.xxh3_64_intdigest(word) % BUCKETS], np.int64)
+    marked = b"<" + word + b">"
+    for a in range(0, len(marked), PART_BYTES):
+        byte = np.frombuffer(marked, np.uint8, min(PART_BYTES + GRAMS[1] - 1, len(marked) - a), a).astype(U64) + U64(1)
+        for n in range(GRAMS[0], GRAMS[1] + 1):
+            h = np.full(min(max(len(byte) - n + 1, 0), PART_BYTES), n, U64) * _MULTIPLIERS[-1]
+            for k in range(n):
+                h += byte[k : k + len(h)] * _MULTIPLIERS[k]
+            if len(h):
+                yield (mix(h) % U64(BUCKETS)).astype(np.int64)
+
+
+def feature_parts(words: list[bytes]):
+    """(first word, buckets, sizes) of neighbouring words, PART_BYTES at a time; a longer word comes alone, several times."""
+    a = 0
+    while a < len(words):
+        b, size = a, 0
+        while b < len(words) and size + len(words[b]) <= PART_BYTES:
+            size += len(words[b])
+            b += 1
+        if b > a:
+            yield a, *word_features(words[a:b])
+        else:
+            b = a + 1
+            for buckets in long_word_features(words[a]):
+                yield a, buckets, np.array([len(buckets)])
+        a = b
+
+
 def pair_features(h: np.ndarray) -> np.ndarray:
     """Buckets of the pairs of neighbouring words; bucket 0 for a word that follows itself."""
     pair = (((h[:-1] * U64(3) + h[1:]) * MIX1 >> U64(20)) % U64(BUCKETS)).astype(np.int64)
@@ -78,7 +112,7 @@ def run_features(runs: list[bytes]) -> np.ndarray:
     out = [np.empty(0, np.int64)]
     for run in map(bytes.split, runs):
         if run:
-            out += [word_features(run)[0], pair_features(np.array([xxhash.xxh3_64_intdigest(w) for w in run], U64))]
+            out += [*(p[1] for p in feature_parts(run)), pair_features(np.array([xxhash.xxh3_64_intdigest(w) for w in run], U64))]
     return np.concatenate(out)
 
 
@@ -132,16 +166,20 @@ class Scorer:
         self.used = 0
         self.hash, self.sum, self.n = np.zeros(4096, U64), np.zeros(4096), np.zeros(4096, np.int64)
 
+    def _sums(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, sum of values and number of features of each word."""
+        total, n = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for a, buckets, sizes in feature_parts(words):
+            total[a : a + len(sizes)] += np.add.reduceat(self.values[buckets], np.cumsum(sizes) - sizes)
+            n[a : a + len(sizes)] += sizes
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64), total, n
+
     def _add(self, words: list[bytes]) -> None:
-        short = list(map(trim, words))
-        buckets, sizes = word_features(short)
         a, b = self.used, self.used + len(words)
         while b > len(self.hash):
             for name in ("hash", "sum", "n"):
                 setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
-        self.hash[a:b] = [xxhash.xxh3_64_intdigest(w) for w in short]
-        self.sum[a:b] = np.add.reduceat(self.values[buckets], np.cumsum(sizes) - sizes)
-        self.n[a:b] = sizes
+        self.hash[a:b], self.sum[a:b], self.n[a:b] = self._sums(words)
         self.words.update(zip(words, range(a, b)))
         self.used = b
 
@@ -155,13 +193,21 @@ class Scorer:
             if len(self.words) + len(part) > CACHE_WORDS:
                 self._start()
             at = list(map(self.words.get, part))
+            long = []
             if None in at:
-                self._add(list(dict.fromkeys(w for w, i in zip(part, at) if i is None)))
-                at = list(map(self.words.__getitem__, part))
+                new = dict.fromkeys(w for w, i in zip(part, at) if i is None)
+                long = [w for w in new if len(w) > WORD_BYTES]
+                self._add([w for w in new if len(w) <= WORD_BYTES])
+                place = {w: -1 - i for i, w in enumerate(long)}  # below 0: not remembered
+                at = [self.words[w] if i is None and w not in place else place[w] if i is None else i for w, i in zip(part, at)]
             at = np.array(at, np.int64)
-            h = np.concatenate([last, self.hash[at]])
-            total += self.sum[at].sum() + self.values[pair_features(h)].sum()
-            count += int(self.n[at].sum()) + len(h) - 1
+            h, s, n = self.hash[at], self.sum[at], self.n[at]
+            if long:
+                for own, other in zip((h, s, n), self._sums(long)):
+                    own[at < 0] = other[-1 - at[at < 0]]
+            h = np.concatenate([last, h])
+            total += s.sum() + self.values[pair_features(h)].sum()
+            count += int(n.sum()) + len(h) - 1
             last = h[-1:]
         return float(1 / (1 + np.exp(-(total / count + self.bias))))
 

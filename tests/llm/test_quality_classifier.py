@@ -32,6 +32,22 @@ def test_scorer_equals_plain_average(monkeypatch):
         assert abs(scorer(b"  ".join(words)) - want) < 1e-9
 
 
+def test_scorer_reads_the_middle_of_long_words(monkeypatch):
+    values = np.random.default_rng(2).normal(size=Q.BUCKETS)
+    scorer = Q.Scorer(values, 0.25)
+    a, b = (b"x" * 500 + m + b"y" * 500 for m in (b"first", b"other"))
+    for word in (a, b):
+        text = b"some " + word + b" words"
+        flat = [Q.word_features(text.split())[0], Q.pair_features(np.array([Q.xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64))]
+        want = 1 / (1 + np.exp(-(values[np.concatenate(flat)].mean() + 0.25)))
+        assert abs(scorer(text) - want) < 1e-9 and word not in scorer.words
+    assert scorer(a) != scorer(b)
+    whole = [scorer(w) for w in (a, b"k " + a + b" " + b)]
+    for size in (64, 333, 1002):  # in parts, also with ends of some bytes
+        monkeypatch.setattr(Q, "PART_BYTES", size)
+        assert np.allclose([Q.Scorer(values, 0.25)(w) for w in (a, b"k " + a + b" " + b)], whole, atol=1e-12)
+
+
 def test_features_of_a_word_do_not_depend_on_its_neighbours():
     words = [b"a", b"bc", b"def", "\u00e9\u00e8".encode(), b"a", b"x" * 48]
     flat, sizes = Q.word_features(words)
