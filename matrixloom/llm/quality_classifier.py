@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, MIX1, U64, binary, mix, odd_multipliers, table, words_of
+from ._common import CACHE_WORDS, MIX1, U64, Scratch, binary, mix, odd_multipliers, table, words_of
 
 BUCKETS, DIM = 1 << 16, 12
 GRAMS = (3, 5)
@@ -25,8 +25,9 @@ GRAMS = (3, 5)
 WORD_BYTES = 48
 #: Features are made for so many bytes at once; a longer word comes in parts.
 PART_BYTES = 1 << 18
-#: Labelled rows that training reads at most (the smallest hashes of doc_id), and words taken of each, in runs.
-MAX_TRAIN_ROWS, MAX_TRAIN_WORDS, RUN_WORDS = 5000, 200, 20
+#: Labelled rows that training reads at most (the smallest hashes of doc_id), each whole, and bytes of their
+#: counted features that the driver holds at most (fewer rows if texts are so long).
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 5000, 128 << 20
 #: At least so many passes and so many steps of so many rows.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 500, 32, 0.4, 11
 THRESHOLD = 0.3
@@ -98,16 +99,6 @@ def pair_features(h: np.ndarray) -> np.ndarray:
     return pair
 
 
-def sampled_runs(text: bytes | None, seed: int) -> list[bytes]:
-    """The words of a text, or of runs of RUN_WORDS of them from all over it: MAX_TRAIN_WORDS at most."""
-    words = words_of(text)
-    starts = [0]
-    if len(words) > MAX_TRAIN_WORDS:
-        starts = np.random.default_rng(seed).integers(0, len(words) - RUN_WORDS + 1, MAX_TRAIN_WORDS // RUN_WORDS)
-        return [b" ".join(map(trim, words[a : a + RUN_WORDS])) for a in starts]
-    return [b" ".join(map(trim, words))]
-
-
 def run_features(runs: list[bytes]) -> np.ndarray:
     out = [np.empty(0, np.int64)]
     for run in map(bytes.split, runs):
@@ -116,13 +107,31 @@ def run_features(runs: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(texts: list[list[bytes]], labels: list[int]) -> tuple[np.ndarray, float]:
-    """(value per feature bucket, bias) of the difference of the two softmax inputs; texts are lists of runs of words."""
+def feature_counts(text: bytes | None) -> bytes:
+    """The buckets of all features of a text, counted: 4 bytes a count, then 2 bytes a bucket."""
+    words, counts, part = words_of(text), np.zeros(BUCKETS, np.int64), 50_000
+    for a in range(0, len(words), part):
+        for _, buckets, _ in feature_parts(words[a : a + part]):
+            counts += np.bincount(buckets, minlength=BUCKETS)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words[max(a - 1, 0) : a + part]], U64)
+        counts += np.bincount(pair_features(h), minlength=BUCKETS)
+    own = np.flatnonzero(counts)
+    return counts[own].astype(np.uint32).tobytes() + own.astype(np.uint16).tobytes()
+
+
+def unpack(counted: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, share of each in the text's features)."""
+    n = len(counted) // 6
+    counts = np.frombuffer(counted, np.uint32, n)
+    return np.frombuffer(counted, np.uint16, n, 4 * n).astype(np.int64), counts / max(1, counts.sum(dtype=np.int64))
+
+
+def train(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
+    """(value per feature bucket, bias) of the difference of the two softmax inputs; texts are counted features."""
     rng = np.random.default_rng(SEED)
     y = np.asarray(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart: a constant near the only label
         return np.zeros(BUCKETS), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0)
-    features = [run_features(t) for t in texts]
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = rng.uniform(-0.5, 0.5, (DIM, 2)), np.zeros(2)
@@ -132,25 +141,25 @@ def train(texts: list[list[bytes]], labels: list[int]) -> tuple[np.ndarray, floa
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
-            rows = np.array([i for i in order[a : a + BATCH] if len(features[i])], np.int64)
+            rows = np.array([i for i in order[a : a + BATCH] if len(texts[i])], np.int64)
             rate = RATE * (1 - steps / total)
             steps += 1
             if not len(rows):
                 continue
-            size = np.array([len(features[i]) for i in rows])
-            flat = np.concatenate([features[i] for i in rows])
-            hidden = np.add.reduceat(vectors[flat], np.cumsum(size) - size, axis=0) / size[:, None]
+            parts = np.zeros((len(rows), BUCKETS))
+            for part, i in zip(parts, rows):
+                buckets, shares = unpack(texts[i])
+                part[buckets] = shares
+            hidden = parts @ vectors
             z = hidden @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
             g = p * weight[rows][:, None]
-            back = np.repeat(g @ layer.T / size[:, None], size, axis=0)
+            back = parts.T @ (g @ layer.T)
             layer -= rate * hidden.T @ g / 4
             bias -= rate * g.mean(axis=0) / 4
-            keys, slot = np.unique(flat, return_inverse=True)
-            for d in range(DIM):
-                vectors[keys, d] -= rate * np.bincount(slot, back[:, d], len(keys)) * 8
+            vectors -= rate * 8 * back
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
@@ -212,25 +221,32 @@ class Scorer:
         return float(1 / (1 + np.exp(-(total / count + self.bias))))
 
 
-def _runs(batches):
+def _counted(batches):
     for batch in batches:
-        ids = batch.column(0)
-        runs = [sampled_runs(t, SEED + i) for i, t in zip(ids.to_pylist(), binary(batch.column(1)).to_pylist())]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(runs, pa.list_(pa.binary()))], names=["doc_id", "runs"])
+        counted = [feature_counts(t) for t in binary(batch.column(1)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counted, pa.binary())], names=["doc_id", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from labelled rows that are not held out; at most `max_train_rows`, chosen by hash.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS, max_train_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, float]:
+    """Learns from whole texts of labelled rows that are not held out; at most `max_train_rows`, chosen by hash.
 
-    The driver gets at most max_train_rows * MAX_TRAIN_WORDS * WORD_BYTES bytes (48 MB; some 6 MB in practice).
+    Features are counted on the executors; the driver gets 6 bytes for each distinct bucket of a text, at most
+    BUCKETS. Rows whose counts do not fit in `max_train_bytes` together, in order of hash, are left out of the sample.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_runs, "doc_id long, runs array<binary>")
-    rows = rows.groupBy("doc_id").agg(F.min("runs").alias("runs")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    return train([[bytes(x) for x in r.runs] for r in rows], [r.quality for r in rows])
+    rows = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(_counted, "doc_id long, features binary")
+    scratch = Scratch(docs.sparkSession, "quality-classifier")
+    rows = scratch.keep(rows.groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(chosen), "doc_id"), "counted")
+    sizes = rows.select("doc_id", F.octet_length("features").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    taken = [r.doc_id for r, end in zip(sizes, np.cumsum([r.n for r in sizes])) if end <= max_train_bytes]
+    if len(taken) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_semi")
+    rows = rows.orderBy("doc_id").collect()
+    scratch.drop("counted")
+    return train([bytes(r.features) for r in rows], [r.quality for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", out_col: str = "score") -> DataFrame:

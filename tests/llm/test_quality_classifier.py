@@ -57,6 +57,32 @@ def test_features_of_a_word_do_not_depend_on_its_neighbours():
         assert Q.word_features([w])[0].tolist() == p.tolist()
 
 
+def test_training_counts_whole_texts():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 80), dtype=np.uint8)) for _ in range(3000)]
+    buckets, shares = Q.unpack(Q.feature_counts(b" ".join(words)))
+    plain = np.bincount(Q.run_features([b" ".join(words)]), minlength=Q.BUCKETS)
+    assert buckets.tolist() == np.flatnonzero(plain).tolist() and np.allclose(shares, plain[buckets] / plain.sum())
+
+
+def test_junk_in_a_part_of_long_texts_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    common = ["word%d" % i for i in range(50)]
+    rows = []
+    for i in range(12):
+        words = rng.choice(common, 3000).tolist()
+        if i % 2:
+            words[2000:2300] = ["zqxjunk"] * 300
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    values, _ = Q.fit(docs, labels)
+    own = Q.word_features([b"zqxjunk"])[0]
+    usual = Q.word_features([w.encode() for w in common])[0]
+    assert values[own].mean() < values[usual].mean() - 0.1
+    assert not Q.fit(docs, labels, max_train_bytes=0)[0].any()
+
+
 def test_edges(spark):
     rows = [(1, None), (1, None), (2, ""), (3, " \n"), (4, "x" * 100000), (5, "a b " * 40000), (None, "text")]
     docs = spark.createDataFrame([(d, t, 0.5, 1) for d, t in rows], "doc_id long, text string, score double, quality int")
