@@ -64,17 +64,26 @@ def _drops(tag: str, attrs: dict[str, str]) -> bool:
     return named != " " and not DROPPED_WORDS.isdisjoint(WORDS.findall(CAMEL.sub(" ", named).lower()))
 
 
+class Node:
+    """A container and its link to the one around it; inner ones have larger numbers."""
+
+    __slots__ = ("number", "path", "around")
+
+    def __init__(self, number: int, path: str, around: Node | None):
+        self.number, self.path, self.around = number, path, around
+
+
 class Block:
-    __slots__ = ("text", "chain", "linked")
+    __slots__ = ("text", "node", "linked")
 
-    def __init__(self, text: str, chain: tuple, linked: int):
-        self.text, self.chain, self.linked = text, chain, linked
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    """Text blocks outside dropped parts, in page order; chain holds (node, path) of the containers around, innermost last."""
+    """Text blocks outside dropped parts, in page order; node is the innermost container around."""
     out: list[Block] = []
-    stack: list[tuple[str, str, tuple, bool, bool]] = []  # tag, path, containers, dropped, in an article
+    stack: list[tuple[str, str, Node | None, bool, bool]] = []  # tag, path, container, dropped, in an article
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = node = 0
@@ -84,7 +93,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][2] if stack else (), linked))
+                out.append(Block(text, stack[-1][2] if stack else None, linked))
             parts.clear()
             linked = 0
 
@@ -155,7 +164,7 @@ def blocks_of(html: str | None) -> list[Block]:
                 add(" ")
             continue
         attrs = _attributes(m["attrs"])
-        _, path, chain, dropped, inside = stack[-1] if stack else ("", "", (), False, False)
+        _, path, around, dropped, inside = stack[-1] if stack else ("", "", None, False, False)
         inside = inside or tag in ("article", "main")
         # a page's header goes; one inside the article keeps its headings only
         if not dropped:
@@ -171,8 +180,8 @@ def blocks_of(html: str | None) -> list[Block]:
                 path = "#" + xxhash.xxh3_128_hexdigest(path)
             if tag in CONTAINERS:
                 node += 1
-                chain = (*chain[-63:], (node, path))
-        stack.append((tag, path, chain, dropped, inside))
+                around = Node(node, path, around)
+        stack.append((tag, path, around, dropped, inside))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW and m["attrs"][-1:] != "/":
             lower = html.lower() if lower is None else lower
@@ -185,26 +194,48 @@ def blocks_of(html: str | None) -> list[Block]:
 
 def best_path(blocks: list[Block]) -> tuple[str, float] | None:
     """The path of the container with the best score: text of its own blocks, a share of its inner containers'."""
-    scores: dict[int, float] = {}
-    paths: dict[int, str] = {}
+    shares: dict[int, float] = {}
+    nodes: dict[int, Node] = {}
     for b in blocks:
-        worth = max(0, len(b.text) - 2 * b.linked) + 1
-        share = 1.0
-        for n, path in reversed(b.chain[-4:]):
-            scores[n] = scores.get(n, 0.0) + worth * share * (1.25 if path.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0)
-            paths[n] = path
-            share *= 0.6
-    if not scores:
+        if b.node:
+            shares[b.node.number] = shares.get(b.node.number, 0.0) + max(0, len(b.text) - 2 * b.linked) + 1
+            node = b.node
+            while node and node.number not in nodes:
+                nodes[node.number] = node
+                node = node.around
+    if not nodes:
         return None
+    scores: dict[int, float] = {}
+    for n in sorted(nodes, reverse=True):  # inner containers first, each once
+        path, around = nodes[n].path, nodes[n].around
+        scores[n] = shares[n] * (1.25 if path.rpartition(">")[2].partition(".")[0] in ("article", "main") else 1.0)
+        if around:
+            shares[around.number] = shares.get(around.number, 0.0) + 0.6 * shares[n]
     n = max(scores, key=lambda k: (scores[k], -k))
-    return paths[n], scores[n]
+    return nodes[n].path, scores[n]
+
+
+def _inside(blocks: list[Block], winner: str) -> list[Block]:
+    """Blocks with a container of that path around them, at any depth."""
+    known: dict[int, bool] = {}
+
+    def within(node: Node | None) -> bool:
+        passed = []
+        while node and node.number not in known and node.path != winner:
+            passed.append(node.number)
+            node = node.around
+        found = node is not None and (node.path == winner or known[node.number])
+        known.update(dict.fromkeys(passed, found))
+        return found
+
+    return [b for b in blocks if within(b.node)]
 
 
 def text_of(blocks: list[Block], winner: str | None) -> str:
     """Blocks in the containers of the winning path, or else of the page's own best path, or else all."""
-    inside = [b for b in blocks if winner is not None and any(p == winner for _, p in b.chain)]
+    inside = _inside(blocks, winner) if winner is not None else []
     if not inside and (own := best_path(blocks)):
-        inside = [b for b in blocks if any(p == own[0] for _, p in b.chain)]
+        inside = _inside(blocks, own[0])
     return "\n\n".join(b.text for b in inside or blocks)
 
 

@@ -49,6 +49,18 @@ def test_odd_markup():
     assert text("<article><header><h1>Head</h1><p>by me</p></header><p>Body</p></article>") == "Head\n\nBody"
 
 
+def test_containers_far_outside_a_block_are_scored():
+    sections = "".join(f"<section class='s{'abcdefghij'[i]}'><h2>Head {i}</h2><div><div><div><p>{'text ' * 100}{i}</p></div></div></div></section>" for i in range(10))
+    got = text(f"<body><article>{sections}</article></body>").split("\n\n")
+    assert len(got) == 20 and got[0] == "Head 0" and got[-1].endswith("9")
+
+
+def test_blocks_deep_below_the_winner_are_kept():
+    page = "<article>" + "<p>shallow words here</p>" * 50 + "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "</article>"
+    assert text(page).endswith("here\n\ndeep")
+    assert text(page, H.best_path(H.blocks_of(page))[0]).endswith("here\n\ndeep")
+
+
 def test_host_vote_overrules_a_page(spark):
     """A page whose widest container is another one is read again by its host's path."""
     normal = "<body><div class='story-{i}'><p>" + "word " * 80 + "{i}</p></div><div class='extra'><p>short</p></div></body>"
