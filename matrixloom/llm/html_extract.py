@@ -35,6 +35,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold the article's text.
 DROPPED = frozenset("aside button canvas dialog footer form head iframe input menu nav noembed noframes noscript object option script select style svg template textarea title xmp".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: A part that words mark is kept if it holds so much of the page's text, or more article text than is outside such parts.
+MOST = 0.8
 #: Words of a class or id that mark such parts.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline-social comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation "
@@ -56,12 +58,25 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _drops(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or attrs.get("aria-hidden") == "true":
-        return True
-    if tag in ("article", "body", "main", "html"):
+    return tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or attrs.get("aria-hidden") == "true"
+
+
+def _marked(attrs: dict[str, str], first: bool = False) -> bool:
+    """Whether a word of the class or id is a dropped part's; or the first word of one of its names."""
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if names == " ":
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return named != " " and not DROPPED_WORDS.isdisjoint(WORDS.findall(CAMEL.sub(" ", named).lower()))
+    names = CAMEL.sub(" ", names).lower()
+    return not DROPPED_WORDS.isdisjoint([w for n in names.split() for w in WORDS.findall(n)[:1]] if first else WORDS.findall(names))
+
+
+class Doubt:
+    """A part marked by words, or the page outside such parts: its text, and that in articles."""
+
+    __slots__ = ("around", "chars", "articles", "kept")
+
+    def __init__(self, around: Doubt | None):
+        self.around, self.chars, self.articles, self.kept = around, 0, 0, False
 
 
 class Node:
@@ -74,16 +89,18 @@ class Node:
 
 
 class Block:
-    __slots__ = ("text", "node", "linked")
+    __slots__ = ("text", "node", "linked", "doubt")
 
-    def __init__(self, text: str, node: Node | None, linked: int):
-        self.text, self.node, self.linked = text, node, linked
+    def __init__(self, text: str, node: Node | None, linked: int, doubt: Doubt | None):
+        self.text, self.node, self.linked, self.doubt = text, node, linked, doubt
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    """Text blocks outside dropped parts, in page order; node is the innermost container around."""
+def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
+    """Text blocks outside dropped parts, in page order; node is the innermost container around. Without marks, words drop nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, str, Node | None, bool, bool]] = []  # tag, path, container, dropped, in an article
+    stack: list[tuple[str, str, Node | None, bool, bool, Doubt | None, bool]] = []  # tag, path, container, dropped, in an article, marked part, in its article
+    top = ("", "", None, False, False, None, False)
+    page, doubts, marked_any = Doubt(None), [], False
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = node = 0
@@ -93,7 +110,11 @@ def blocks_of(html: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][2] if stack else None, linked))
+                _, _, container, _, _, part, within = stack[-1] if stack else top
+                out.append(Block(text, container, linked, part))
+                part = part or page
+                part.chars += len(text)
+                part.articles += len(text) * within
             parts.clear()
             linked = 0
 
@@ -164,11 +185,20 @@ def blocks_of(html: str | None) -> list[Block]:
                 add(" ")
             continue
         attrs = _attributes(m["attrs"])
-        _, path, around, dropped, inside = stack[-1] if stack else ("", "", None, False, False)
+        _, path, around, dropped, inside, doubt, within = stack[-1] if stack else top
         inside = inside or tag in ("article", "main")
         # a page's header goes; one inside the article keeps its headings only
         if not dropped:
             dropped = _drops(tag, attrs) or tag == "header" and not inside
+            if tag in ("article", "main"):
+                within = within or doubt is None or not _marked(attrs, True)
+            elif marks and not dropped and tag not in ("body", "html") and _marked(attrs):
+                marked_any = True
+                if inline:
+                    dropped = True
+                else:
+                    doubt, within = Doubt(doubt), False
+                    doubts.append(doubt)
         elif tag in HEADINGS and any(s[0] == "header" and s[4] and s[3] for s in stack) and not any(s[3] and s[0] != "header" for s in stack):
             dropped = False
         if tag == "header" and inside:
@@ -181,7 +211,7 @@ def blocks_of(html: str | None) -> list[Block]:
             if tag in CONTAINERS:
                 node += 1
                 around = Node(node, path, around)
-        stack.append((tag, path, around, dropped, inside))
+        stack.append((tag, path, around, dropped, inside, doubt, within))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         if tag in RAW and m["attrs"][-1:] != "/":
             lower = html.lower() if lower is None else lower
@@ -189,7 +219,17 @@ def blocks_of(html: str | None) -> list[Block]:
             at = len(html) if end < 0 else end
     add(html[at:])
     flush()
-    return out
+    if not marked_any:
+        return out
+    total = page.chars + sum(d.chars for d in doubts)
+    for d in reversed(doubts):  # inner ones first
+        d.kept = d.articles > page.articles or 0 < MOST * total <= d.chars
+        if d.kept and d.around:
+            d.around.chars += d.chars
+            d.around.articles += d.articles
+    for d in doubts:
+        d.kept = d.kept and (d.around is None or d.around.kept)
+    return [b for b in out if b.doubt is None or b.doubt.kept] or blocks_of(html, False)
 
 
 def best_path(blocks: list[Block]) -> tuple[str, float] | None:

@@ -61,6 +61,20 @@ def test_blocks_deep_below_the_winner_are_kept():
     assert text(page, H.best_path(H.blocks_of(page))[0]).endswith("here\n\ndeep")
 
 
+def test_words_do_not_drop_the_article():
+    body = "<p>" + "text " * 60 + "end</p>"
+    want = " ".join(["text"] * 60 + ["end"])
+    for names in ("class='content with-sidebar'", "class='no-sidebar'", "class='post has-comments'", "id='search-results-article'", "class='entry share-enabled'"):
+        side = "<div class='sidebar'><p>" + "side " * 100 + "</p></div>"
+        assert text(f"<body><p>Other words</p><div {names}><article>{body}</article>{side}</div><footer>f</footer></body>") == want
+        assert text(f"<body><div {names}><div>{body}</div></div><p>Other</p></body>") == want
+    assert text("<body><div class='widget'><p>only text</p></div></body>") == "only text"
+    assert text("<body><p><span class='share'>only text</span></p></body>") == "only text"
+    cards = "<section class='related'>" + "<article><p>card</p></article>" * 5 + "</section><div id='comments'><article class='comment-body'><p>" + "reply " * 90 + "</p></article></div>"
+    assert text(f"<body><main class='c'><article>{body}</article>{cards}</main></body>") == want
+    assert text("<body>" + "<div class='widget'>" * 3000 + "deep") == "deep"
+
+
 def test_host_vote_overrules_a_page(spark):
     """A page whose widest container is another one is read again by its host's path."""
     normal = "<body><div class='story-{i}'><p>" + "word " * 80 + "{i}</p></div><div class='extra'><p>short</p></div></body>"
