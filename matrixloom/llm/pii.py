@@ -49,6 +49,9 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: At least seven digit words in a row, with digits among them, "plus" before them allowed.
 SPELLED = re.compile(rf"(?:\bplus[\x20,-]+)?(?<![^\W_])(?:(?:{_WORD})(?![^\W_])[\x20,.-]{{0,3}}|[0-9][\x20,.-]{{0,3}}){{7,}}", re.I)
 SPELLED_PART = re.compile(rf"\bplus\b|(?<![^\W_])(?:{_WORD})(?![^\W_])|[0-9]", re.I)
+#: Figures and digit words side by side, also with dots or dot words between; commas between words only.
+MIXED = re.compile(rf"(?:\bplus[\x20-]+)?(?<![^\W_])(?:(?:{_WORD})(?![^\W_])|[0-9]++)(?:(?:\x20+(?:dot|punkt|point|punto)\x20+|\x20?[.-]\x20?|(?<=[^\W\d_]),\x20?(?![0-9])|\x20{{1,3}})(?:(?:{_WORD})(?![^\W_])|[0-9]++))+", re.I)
+MIXED_PART = re.compile(rf"\bplus\b|(?<![^\W_])(?:{_WORD})(?![^\W_])|[0-9]+", re.I)
 
 AT = re.compile(r"\x20*(?:[\[({<]\x20*(?:at|ät|arroba|@)\x20*[\])}>]|_at_|-at-)\x20*", re.I)
 DOT = re.compile(r"\x20*(?:[\[({<]\x20*(?:dot|punkt|point|punto|\.)\x20*[\])}>]|_dot_|-dot-)\x20*", re.I)
@@ -111,6 +114,11 @@ class Copy:
     def __init__(self, text: str):
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
+    def twin(self) -> Copy:
+        other = Copy("")
+        other.text, other.starts, other.ends = self.text, self.starts, self.ends  # rewrite replaces them
+        return other
+
     def rewrite(self, pieces: list[tuple[int, int, str]]) -> None:
         """Puts new characters in place of spans; all characters of a replacement map to the whole span."""
         if not pieces:
@@ -178,11 +186,33 @@ def _spelled(copy: Copy) -> list[tuple[int, int]]:
     return runs
 
 
-def _may_be_spelled(text: str) -> bool:
-    return not _DIGIT_WORD_SET.isdisjoint(text.lower().replace(",", " ").replace("-", " ").replace(".", " ").split(" "))
+def _mixed(copy: Copy) -> None:
+    """Rewrites digit words beside figures or other digit words; dots between stay, other gaps beside a word go."""
+    pieces = []
+    for m in MIXED.finditer(copy.text):
+        parts = list(MIXED_PART.finditer(copy.text, m.start(), m.end()))
+        if all(p[0].isdigit() for p in parts):
+            continue
+        last = None
+        for p in parts:
+            if last:
+                gap = copy.text[last.end() : p.start()]
+                if gap.strip().isalpha() or "." in gap:
+                    pieces.append((last.end(), p.start(), "."))
+                elif gap and not (last[0].isdigit() and p[0].isdigit()):
+                    pieces.append((last.end(), p.start(), ""))
+            if not p[0].isdigit():
+                low = p[0].lower()
+                pieces.append((p.start(), p.end(), "+" if low == "plus" else DIGIT_WORDS[low]))
+            last = p
+    copy.rewrite(pieces)
+
+
+def _may_be_spelled(low: str) -> bool:
+    return any(w in low for w in DIGIT_WORDS)
 
 
-_DIGIT_WORD_SET = frozenset(DIGIT_WORDS) - {"un", "six", "null", "acht"}
+_FIGURES = frozenset("0123456789 .,-")
 
 
 def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -190,7 +220,7 @@ def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int
     low = text.lower() if ("dot" in text or "DOT" in text or "Dot" in text or "@" in text or "t)" in text or "t]" in text or AT.search(text)) else ""
     strange = not text.isascii() and STRANGE.search(text) is not None
     disguised = bool(low) and (" dot " in low or AT.search(text) is not None or DOT.search(text) is not None)
-    spelled = _may_be_spelled(text) and SPELLED.search(text) is not None
+    spelled = _may_be_spelled(text.lower()) and (SPELLED.search(text) is not None or any(not _FIGURES.issuperset(m[0]) for m in MIXED.finditer(text)))
     lettered = LETTER_DIGIT.search(text) is not None
     if not (strange or disguised or spelled or lettered):
         return []
@@ -200,8 +230,11 @@ def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int
     _disguises(copy)
     if lettered or strange:
         copy.rewrite([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in LETTER_DIGIT.finditer(copy.text)])
+    other = copy.twin()
     runs = _spelled(copy)
     found = [(*copy.source(a, b), k) for a, k, b in fixed_spans(copy.text)]
+    _mixed(other)
+    found += [(*other.source(a, b), k) for a, k, b in fixed_spans(other.text)]
     for a, b in runs:
         digits = _digits(copy.text[a:b])
         if 12 <= len(digits) <= 19 and luhn(digits):

@@ -75,3 +75,15 @@ def test_disguises_map_back_to_source():
 def test_redact():
     assert P.redact("x a@b.com y +1 555 123 4567 z") == "x [EMAIL] y [PHONE] z"
     assert P.redact("no data") == "no data" and P.redact("") == ""
+
+
+def test_figures_and_digit_words_mixed():
+    assert hidden("pay four one one one 1111 1111 1111 now") == {("card", "four one one one 1111 1111 1111")}
+    assert hidden("é 4111 1111 1111 111 one.") == {("card", "4111 1111 1111 111 one")}
+    assert hidden("call +49 one five one 2345678.") == {("phone", "+49 one five one 2345678")}
+    assert hidden("at one nine two dot one six eight dot one dot one ok") == {("ip", "one nine two dot one six eight dot one dot one")}
+    assert hidden("host 192.168.0.one up") == {("ip", "192.168.0.one")}
+    assert hidden("host one nine two (dot) one six eight (dot) one (dot) one") == {("ip", "one nine two (dot) one six eight (dot) one (dot) one")}
+    assert hidden("nine nine nine dot one dot one dot one") == set() and hidden("four one one one 1111 1111 1112") == set()
+    assert hidden("one or two of 12 3 and six, 7 of 1.5") == set()
+    assert P.redact("x one dot one dot one dot one y") == "x [IP] y"
