@@ -190,6 +190,17 @@ def _seeds(least: int, lengths: tuple[int, ...] | None):
     return run
 
 
+def _lengths(least: int):
+    """Rows (k): the distinct seed lengths of a batch's items, at most `least` values; items without words have none."""
+
+    def run(batches):
+        for batch in batches:
+            found = {min(least, len(tokens(text))) for text in binary(batch.column(0)).to_pylist()} - {0}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["k"])
+
+    return run
+
+
 def _pairs(least: int, threshold: float):
     def run(batches):
         hashes = WordHashes()
@@ -222,7 +233,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         found = base.mapInArrow(_scan(index, threshold), SCHEMA)
     else:
         scratch = Scratch(docs.sparkSession, "decontaminate")
-        lengths = tuple(range(1, least + 1)) if items.where(F.size(F.split(F.trim("text"), r"\s+")) < 2 * least).limit(1).count() else (least,)
+        lengths = tuple(sorted(r.k for r in items.select("text").mapInArrow(_lengths(least), "k int").distinct().collect())) or (least,)
         of_items = items.mapInArrow(_seeds(least, None), "id long, seed long").withColumnRenamed("id", "item_id")
         of_docs = base.mapInArrow(_seeds(least, lengths), "id long, seed long").withColumnRenamed("id", "doc_id")
         pairs = scratch.keep(of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct(), "pairs")

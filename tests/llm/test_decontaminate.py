@@ -81,3 +81,11 @@ def test_tile_matches_textbook():
         a, b = (rng.integers(1, 5, rng.integers(5, 25)).astype(np.uint64) for _ in range(2))
         least = int(rng.integers(2, 5))
         assert D.tile(a, b, least) == brute_tile(a.tolist(), b.tolist(), least)
+
+
+def test_items_of_few_words_among_marks_are_joined(spark):
+    """Seed lengths follow the words that count, not blanks."""
+    docs = spark.createDataFrame([(1, "x a b y"), (2, "x b a y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "- - - | | a b * * #")], "item_id long, text string")
+    for chars in (1 << 20, 0):
+        assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items, broadcast_chars=chars).collect()] == [(1, 7)]
