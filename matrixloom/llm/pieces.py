@@ -9,29 +9,33 @@ Giant documents are cut into chunks. A chunk's transfer matrix holds, in max-plu
 weight from each state in which a path can enter it to each in which it can leave it. Matrices of one
 document are combined associatively (small ones, never texts), which fixes the states at all boundaries,
 and every chunk is then traced back on its own. No piece holds a word mark after another character,
-so paths of different words are independent; words met before are remembered.
+so paths of different words are independent, and the different words of a batch go through the lattice
+together, each once. Nothing is remembered from batch to batch but which pieces are compatible, in a table
+of fixed size.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table
+from ._common import U64, Scratch, mix, odd_multipliers, table
+from ._lattice import LONGEST_WORD, Lattice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 15
-#: Words that a worker remembers (some 80 MB, kept between tasks). The first ones it meets hold the frequent ones, so a full memory is
-#: kept until STALE times as many words were not in it.
-CACHE, STALE = 300_000, 8
+#: Characters that a worker encodes at once (some 60 bytes each), and rows that it hands on at once.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 2000
+#: Pairs of pieces that the lattice of single words remembers (some 20 MB).
+AGREED = 100_000
 MARK = "▁"
 NO = float("-inf")
 #: Below the lowest score, for characters without a piece (as the library has it).
@@ -68,6 +72,9 @@ def _fields(data: bytes):
             at += n
 
 
+_WEIGHTS = odd_multipliers(LONGEST_WORD + 1, 23)
+
+
 class Model:
     """Pieces, scores and settings of a SentencePiece model file with identity normalisation."""
 
@@ -100,17 +107,17 @@ class Model:
         #: Whether words (a run of marks, then other characters) can be taken one by one.
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        self.unit = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.alone = frozenset(alone)
         self.agree: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.missed = 0
         #: Lengths, longest first, of the pieces that can end in these four characters.
         self.tails: dict[str, tuple[int, ...]] = {}
         for p in self.ids:
             if len(p) > 3:
                 self.tails[p[-4:]] = (*self.tails.get(p[-4:], ()), len(p))
         self.tails = {t: (*sorted(set(n), reverse=True), 3, 2, 1) for t, n in self.tails.items()}
+        lattice = Lattice(self.pieces, self.scores, self.ids, self.bytes, self.unknown) if self.bpe and self.by_word else None
+        #: For all words of a batch at once; None where the model's merges do not allow it.
+        self.lattice = lattice if lattice and lattice.usable else None
         self.raw = [bytes((self.byte_of[i],)) if i in self.byte_of else b"" if i in self.controls else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
     # --- the lattice -------------------------------------------------------------------------
@@ -137,7 +144,7 @@ class Model:
     def agreed(self, key: int) -> bool:
         got = self.agree.get(key)
         if got is None:
-            if len(self.agree) > 2_000_000:
+            if len(self.agree) >= AGREED:
                 self.agree.clear()
             a, b = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
             got = self.agree[key] = self.merged(a + b) == [a, b]
@@ -292,32 +299,51 @@ class Model:
         self.piece_ids(word, 0, ends, out)
         return out
 
-    def new_word(self, word: str) -> list[int]:
-        if len(word) > 256:
-            return self.long(word)
-        ids = self.word(word)
-        if len(self.words) < CACHE:
-            self.words[word] = ids
-        else:
-            self.missed += 1
-            if self.missed >= STALE * CACHE:
-                self.words, self.missed = {}, 0
-        return ids
-
-    def lists(self, text: str) -> list[list[int]]:
-        """Pieces of each word of a marked text."""
-        if not self.by_word:
-            return [self.word(text) if len(text) < 4096 else self.long(text)] if text else []
-        units = self.unit.findall(text)
-        out = list(map(self.words.get, units))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = self.words.get(units[i]) or self.new_word(units[i])  # it may have come up earlier in this text
-        return out
-
-    def encode_marked(self, text: str, out: list[int]) -> None:
-        out.extend(chain.from_iterable(self.lists(text)))
+    def unit_ids(self, unit: str) -> list[int]:
+        return self.word(unit) if len(unit) <= 256 else self.long(unit)
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each text's ids) of marked texts; every different word is encoded once."""
+        whole = "".join(texts)
+        chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        if not len(chars):
+            return np.empty(0, np.int32), ends
+        start = np.zeros(len(chars) + 1, bool)
+        start[0] = start[ends] = True
+        if self.by_word:
+            mark = chars == ord(MARK)
+            alone = np.isin(chars, [ord(c) for c in self.alone])
+            start[:-1] |= alone
+            start[1:] |= alone
+            start[1:-1] |= mark[1:] & ~mark[:-1]
+        begin = np.flatnonzero(start[:-1])
+        length = np.diff(begin, append=len(chars))
+        # different units by a hash of their characters; long ones are not looked for again
+        inner = np.minimum(np.arange(len(chars)) - np.repeat(begin, length), LONGEST_WORD)
+        names = mix(np.add.reduceat((chars.astype(U64) + U64(1)) * _WEIGHTS[inner], begin))
+        short = length <= LONGEST_WORD
+        _, first, own = np.unique(names[short], return_index=True, return_inverse=True)
+        which = np.empty(len(begin), np.int64)
+        which[short] = own
+        which[~short] = len(first) + np.arange(len(begin) - len(own))
+        example = np.concatenate([np.flatnonzero(short)[first], np.flatnonzero(~short)])
+        b, n = begin[example], length[example]
+        together = np.zeros(len(b), bool)
+        if self.lattice:
+            second = chars[np.minimum(b + 1, len(chars) - 1)]
+            together = (n <= LONGEST_WORD) & ~((n > 1) & (chars[b] == ord(MARK)) & (second == ord(MARK)))
+        pool, counts = self.lattice.words(chars, b[together], n[together]) if together.any() else (np.empty(0, np.int32), np.empty(0, np.int64))
+        rest = [self.unit_ids(whole[x : x + y]) for x, y in zip(b[~together].tolist(), n[~together].tolist())]
+        size = np.empty(len(b), np.int64)
+        size[together], size[~together] = counts, [len(x) for x in rest]
+        place = np.empty(len(b), np.int64)
+        place[together] = np.cumsum(counts) - counts
+        place[~together] = len(pool) + np.cumsum(size[~together]) - size[~together]
+        pool = np.concatenate([pool, np.fromiter(chain.from_iterable(rest), np.int32)])
+        total = np.concatenate([[0], np.cumsum(size[which])])
+        ids = pool[np.arange(total[-1]) + np.repeat(place[which] - total[:-1], size[which])]
+        return ids, total[np.searchsorted(begin, ends)]
 
     def long(self, text: str) -> list[int]:
         out: list[int] = []
@@ -331,10 +357,7 @@ class Model:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        if text:
-            self.encode_marked(self.mark(text), out)
-        return out
+        return self.encode_many([self.mark(text)])[0].tolist() if text else []
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -387,18 +410,21 @@ class Chunk:
         at = self.model.paths(self.text, begin, end, entries)
         return [[at[p][q][0][k] if p in at and q in at[p] else NO for p, q in exits] for k in range(len(entries))]
 
-    def ids(self, entry: int, leave: int) -> list[int]:
-        """Pieces that start in the chunk on the best path from an entry to an exit."""
-        m, text, out = self.model, self.text, []
+    def traced(self, entry: int, leave: int) -> tuple[list[int], str, list[int]]:
+        """Pieces that start in the chunk on the best path from an entry to an exit: at its head, the text between, at its tail."""
+        head, tail = [], []
         start, finish = self.entries[entry], self.exits[leave]
-        if self.inner:
-            first, last = self.inner
-            self._trace(self.begin, first, start, (first, ""), out)
-            m.encode_marked(text[first:last], out)
-            self._trace(last, self.end, (last, ""), finish, out)
-        else:
-            self._trace(self.begin, self.end, start, finish, out)
-        return out
+        if not self.inner:
+            self._trace(self.begin, self.end, start, finish, head)
+            return head, "", tail
+        first, last = self.inner
+        self._trace(self.begin, first, start, (first, ""), head)
+        self._trace(last, self.end, (last, ""), finish, tail)
+        return head, self.text[first:last], tail
+
+    def ids(self, entry: int, leave: int) -> list[int]:
+        head, text, tail = self.traced(entry, leave)
+        return head + self.model.encode_many([text])[0].tolist() + tail
 
     def _trace(self, begin, end, start, finish, out) -> None:
         if start == finish:
@@ -447,27 +473,35 @@ def _model(path: str) -> Model:
         return Model(f.read())
 
 
-def _ids_column(lists: list[list[int]]) -> pa.Array:
-    ends = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=ends[1:])
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _slices(batch: pa.RecordBatch, column: int):
+    """Parts of a batch of BATCH_CHARS bytes of a string column, one row at least, and BATCH_ROWS rows at most."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_CHARS, side="right"))
+        b = min(max(b, a + 1), a + BATCH_ROWS)
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def _same(model: Model, text: str | None, ids: list[int]) -> bool:
     return model.decode(ids) == (text or "").replace(MARK, " ")
 
 
-def _short(path: str, chunk: int):
+def _short(path: str):
     def run(batches):
         model = _model(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = part.column(1).to_pylist()
-                lists = [model.encode(t) for t in texts]
-                same = [_same(model, t, i) for t, i in zip(texts, lists)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in lists], pa.int64()), _ids_column(lists), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
+            for part in _slices(batch, 1):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids, ends = model.encode_many([model.mark(t) for t in texts])
+                begins, flat = np.concatenate([[0], ends[:-1]]), ids.tolist()
+                same = [_same(model, t, flat[a:b]) for t, a, b in zip(texts, begins.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - begins, pa.int64()), _lists(ids, ends), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
 
     return run
 
@@ -506,9 +540,13 @@ def _traced(path: str):
     def run(batches):
         model = _model(path)
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "begin", "end", "entry", "leave")))
-            lists = [Chunk(model, text, begin, end).ids(entry, leave) for text, begin, end, entry, leave in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("part"), _ids_column(lists)], names=["rid", "doc_id", "part", "ids"])
+            for part in _slices(batch, batch.schema.get_field_index("text")):
+                rows = zip(*(part.column(c).to_pylist() for c in ("text", "begin", "end", "entry", "leave")))
+                heads, middles, tails = zip(*(Chunk(model, text, begin, end).traced(entry, leave) for text, begin, end, entry, leave in rows))
+                ids, ends = model.encode_many(list(middles))
+                cut = np.split(ids, ends[:-1])
+                lists = [np.concatenate([np.array(h, np.int32), m, np.array(t, np.int32)]) for h, m, t in zip(heads, cut, tails)]
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("part"), _lists(np.concatenate(lists), np.cumsum([len(x) for x in lists]))], names=["rid", "doc_id", "part", "ids"])
 
     return run
 
@@ -522,7 +560,7 @@ def _join(path: str):
                 ids = [i for p in sorted(parts, key=lambda p: p["part"]) for i in p["ids"]]
                 lists.append(ids)
                 same.append(_same(model, text, ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), _ids_column(lists), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), _lists(np.array([i for x in lists for i in x], np.int32), np.cumsum([len(x) for x in lists])), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
 
     return run
 
@@ -540,7 +578,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     scratch = Scratch(docs.sparkSession, "pieces")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = base.where(~giant).mapInArrow(_short(model, chunk), SCHEMA)
+    short = base.where(~giant).mapInArrow(_short(model), SCHEMA)
     long = scratch.keep(base.where(giant).withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text"), "long")
     chunks = long.repartition("rid").mapInArrow(_chunks(model, chunk), "rid long, doc_id long, part int, text string, begin int, end int")
     chunks = scratch.keep(chunks.repartition("rid", "part"), "chunks")
