@@ -6,28 +6,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker keeps in one word cache before it starts again (bounds its memory).
-CACHE_WORDS = 400_000
-
 U64 = np.uint64
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered; emptied when it holds CACHE_WORDS words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,6 +43,25 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 17) -> np.ndarray:
     return mix(out)
 
 
+#: Bytes of texts that a worker turns into Python objects at once; Spark's own batches are of up to 64 MB.
+PART_BYTES = 4 << 20
+
+
+def parts(batches, limit: int = PART_BYTES):
+    """The batches in parts of some `limit` bytes of strings and binaries, of one row at least; empty batches go."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size)
+        a = 0
+        while a < batch.num_rows:
+            b = max(int(np.searchsorted(end, (end[a - 1] if a else 0) + limit, side="right")), a + 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A string column as UTF-8 bytes without copying characters."""
     return column.cast(pa.binary())
@@ -73,7 +82,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            # Only local sessions come here; a cluster sets spark.checkpoint.dir to a shared folder.
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

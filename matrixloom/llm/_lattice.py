@@ -26,7 +26,7 @@ class Table:
     """Values of distinct non-zero 64-bit keys, by open addressing with few keys a slot."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(10, int(len(keys)).bit_length() + 2)
+        bits = max(10, int(len(keys)).bit_length() + 1)
         self.shift, self.last = U64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, U64), np.full(1 << bits, -1, values.dtype)
         todo, at = np.arange(len(keys)), self._slot(keys)
@@ -114,10 +114,10 @@ class Lattice:
         self.edge = []
         for side in edges:
             depth = max(map(len, side))
-            self.edge.append(tuple(np.array([[e[j] for e in x] + [fill] * (depth - len(x)) for x in side], t) for j, fill, t in ((0, -1, np.int64), (1, 0.0, np.float64), (2, inf, np.float64))))
+            self.edge.append(tuple(np.array([[e[j] for e in x] + [fill] * (depth - len(x)) for x in side], t) for j, fill, t in ((0, -1, np.int32), (1, 0.0, np.float32), (2, inf, np.float32))))
         joined = [(ids[p[:j]], ids[p[j:]], scores[i]) for p, i in ids.items() for j in range(1, len(p)) if p[:j] in ids and p[j:] in ids]
-        self.score_of = Table(np.array([a + 1 << 32 | b for a, b, _ in joined], U64), np.arange(len(joined)))
-        self.joined_scores = np.array([x for *_, x in joined])
+        self.score_of = Table(np.array([a + 1 << 32 | b for a, b, _ in joined], U64), np.arange(len(joined), dtype=np.int32))
+        self.joined_scores = np.array([x for *_, x in joined], np.float32)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the model takes pieces a and b side by side; from the pieces' edges."""
@@ -129,7 +129,7 @@ class Lattice:
                 if not len(rows):
                     break
                 x, y = a[rows], b[rows]
-                at = self.score_of((r_id[x, i] + 1 << 32 | l_id[y, j]).astype(U64))
+                at = self.score_of((r_id[x, i].astype(np.int64) + 1 << 32 | l_id[y, j]).astype(U64))
                 rows, x, y, at = rows[at >= 0], x[at >= 0], y[at >= 0], at[at >= 0]
                 when = np.minimum(self.joined_scores[at], np.minimum(r_from[x, i], l_from[y, j]))
                 # of equal merges the leftmost comes first

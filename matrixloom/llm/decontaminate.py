@@ -8,14 +8,12 @@ passages count. An item whose words are covered to THRESHOLD by tiles contaminat
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Scratch, WordHashes, binary, gram_hashes, odd_multipliers, only, table
+from ._common import U64, Scratch, binary, gram_hashes, odd_multipliers, only, parts, table, word_hashes
 
 MATCH, THRESHOLD = 5, 0.6
 #: Total bytes of test items up to which their seeds are broadcast (some seven times as much); beyond, seeds are joined.
@@ -52,17 +50,10 @@ def _rolling(h: np.ndarray, s: int) -> np.ndarray:
 def tile(item: np.ndarray, doc: np.ndarray, least: int = MATCH) -> int:
     """Words of item covered by greedy tiles of at least `least` words; item and doc are word hashes."""
     free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
-    covered, size = 0, min(len(item), len(doc))
-    while size >= least:
-        longest = _longest(item, doc, free_i, free_d, least, size)
-        if not longest:
-            break
-        size, places = longest
-        for i, d in places:  # all of this length, in order, unless an earlier one took their words
-            if free_i[i : i + size].all() and free_d[d : d + size].all():
-                free_i[i : i + size] = False
-                free_d[d : d + size] = False
-                covered += size
+    covered, most = 0, min(len(item), len(doc))
+    while size := _longest(item, doc, free_i, free_d, least, most):
+        covered += _mark(item, doc, free_i, free_d, size)
+        most = size
     return covered
 
 
@@ -71,39 +62,50 @@ def _open(free: np.ndarray, s: int) -> np.ndarray:
     return np.flatnonzero(c[s:] - c[:-s] == s)
 
 
-def _common(item, doc, free_i, free_d, s) -> list[tuple[int, int]]:
-    a, b = _open(free_i, s), _open(free_d, s)
-    if not len(a) or not len(b):
-        return []
-    ha, hb = _rolling(item, s)[a], _rolling(doc, s)[b]
-    where = defaultdict(list)
-    for h, i in zip(ha.tolist(), a.tolist()):
-        where[h].append(i)
-    hit = np.isin(hb, ha)
-    return sorted((i, d) for h, d in zip(hb[hit].tolist(), b[hit].tolist()) for i in where[h] if (item[i : i + s] == doc[d : d + s]).all())
-
-
-def _longest(item, doc, free_i, free_d, least, most):
-    """(length, places) of the longest common unmarked runs, by bisection over the length."""
-    lo, hi, best = least, most, None
+def _longest(item, doc, free_i, free_d, least, most) -> int:
+    """Length of the longest common unmarked runs, 0 below `least`; by bisection over the length."""
+    lo, hi, best = least, most, 0
     while lo <= hi:
         mid = (lo + hi) // 2
-        if found := _common(item, doc, free_i, free_d, mid):
-            best, lo = (mid, found), mid + 1
+        a, b = _open(free_i, mid), _open(free_d, mid)
+        if len(a) and len(b) and np.isin(_rolling(item, mid)[a], _rolling(doc, mid)[b]).any():
+            best, lo = mid, mid + 1
         else:
             hi = mid - 1
     return best
 
 
+def _mark(item, doc, free_i, free_d, s) -> int:
+    """Marks common runs of s words, by place in the item and then in the document, unless an earlier one took their words.
+
+    Equal runs of the document are a list that is walked once: a place that is taken stays so.
+    """
+    a, b = _open(free_i, s), _open(free_d, s)
+    ha, hb = _rolling(item, s)[a], _rolling(doc, s)[b]
+    order = np.argsort(hb, kind="stable")
+    lo, hi = np.searchsorted(hb[order], ha), np.searchsorted(hb[order], ha, "right")
+    places, reached, covered, end = b[order], {}, 0, 0
+    for i, first, last in zip(a[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+        if i < end:
+            continue  # an earlier tile took some of these words
+        j = reached.get(first, first)
+        while j < last and not free_d[places[j] : places[j] + s].all():
+            j += 1
+        reached[first] = j
+        if j < last and (item[i : i + s] == doc[places[j] : places[j] + s]).all():
+            end = i + s
+            free_i[i:end] = free_d[places[j] : places[j] + s] = False
+            covered += s
+    return covered
+
+
 class Index:
     """Seeds of test items: sorted hashes of MATCH words (or of a whole shorter item), with item and place."""
 
     def __init__(self, items: list[tuple], least: int = MATCH):
-        hashes = WordHashes()
         self.items, seeds = [], []
-        self.short: dict[int, list[int]] = {}
         for item_id, text in items:
-            h = hashes.of(tokens(text))
+            h = word_hashes(tokens(text))
             if not len(h):
                 continue
             self.items.append(Item(item_id, h))
@@ -117,100 +119,122 @@ class Index:
         self.lengths = sorted(set(self.k.tolist()))
 
     def hits(self, h: np.ndarray):
-        """(item, place, position, k) of every seed in a document."""
+        """(items, places, owners, positions, k) of the seeds of k words in a document: an item and place for each place in an
+        item, an owner (an item) and position for each place in the document; never one for each pair of places."""
         for k in self.lengths:
             g = gram_hashes(h, k)
             if not len(g):
                 continue
             lo = np.searchsorted(self.seed, g)
             at = np.flatnonzero((lo < len(self.seed)) & (self.seed[np.minimum(lo, len(self.seed) - 1)] == g))
-            for p in at.tolist():
-                j = int(lo[p])
-                while j < len(self.seed) and self.seed[j] == g[p]:
-                    if self.k[j] == k:
-                        yield int(self.item[j]), int(self.place[j]), p, k
-                    j += 1
+            if not len(at):
+                continue
+            seeds, own = np.unique(g[at], return_inverse=True)
+            lo, hi = np.searchsorted(self.seed, seeds), np.searchsorted(self.seed, seeds, "right")
+            which = np.repeat(np.arange(len(seeds)), hi - lo)
+            rows = np.arange(len(which)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+            rows, which = rows[self.k[rows] == k], which[self.k[rows] == k]
+            n = np.bincount(own, minlength=len(seeds))
+            by_seed, first = at[np.argsort(own, kind="stable")], np.cumsum(n) - n
+            pairs = np.unique(np.stack([self.item[rows], which]), axis=1)
+            size = n[pairs[1]]
+            positions = by_seed[np.arange(size.sum()) + np.repeat(first[pairs[1]] - np.cumsum(size) + size, size)]
+            yield self.item[rows], self.place[rows], np.repeat(pairs[0], size), positions, k
 
     def matches(self, h: np.ndarray, threshold: float):
         """(item, covered words) of the items that reach the threshold."""
-        found: dict[int, tuple[set, set]] = {}
-        for item, place, p, k in self.hits(h):
-            a, b = found.setdefault(item, (set(), set()))
-            a.update(range(place, place + k))
-            b.update(range(p, p + k))
-        for item, (a, b) in sorted(found.items()):
+        found = list(self.hits(h))
+        for item in np.unique(np.concatenate([f[0] for f in found])).tolist() if found else ():
             words = self.items[item].h
-            if len(a) < threshold * len(words):
+            in_item, in_doc = np.zeros(len(words) + 1, np.int64), np.zeros(len(h) + 1, np.int64)
+            for items, places, owners, positions, k in found:
+                for edge, at in ((in_item, places[items == item]), (in_doc, positions[owners == item])):
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + k, -1)
+            if np.count_nonzero(np.cumsum(in_item) > 0) < threshold * len(words):
                 continue  # tiles cover no words without a seed
             # tiles lie in runs of seeded positions; a gap keeps runs apart
-            at = np.array(sorted(b))
+            at = np.flatnonzero(np.cumsum(in_doc) > 0)
             cut = np.flatnonzero(np.diff(at) > 1) + 1
-            parts = np.split(h[at], cut)
             gap = np.zeros(1, U64)
-            doc = np.concatenate([x for part in parts for x in (part, gap)])
+            doc = np.concatenate([x for part in np.split(h[at], cut) for x in (part, gap)])
             covered = tile(words, doc, min(self.least, len(words)))
             if covered >= threshold * len(words):
                 yield self.items[item], covered
 
+    def any(self, h: np.ndarray, threshold: float) -> bool:
+        return next(self.matches(h, threshold), None) is not None
+
+
+NAMES = ["doc_id", "item_id", "n_item_words", "n_tiled"]
+
 
 def _emit(rows):
-    names = ["doc_id", "item_id", "n_item_words", "n_tiled"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=NAMES)
 
 
 def _scan(index: Index, threshold: float):
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist()):
-                h = hashes.of(tokens(text))
+                h = word_hashes(tokens(text))
                 rows += [(doc, item.item_id, len(item.h), covered) for item, covered in index.matches(h, threshold)]
             yield _emit(rows)
 
     return run
 
 
-def _seeds(least: int, lengths: tuple[int, ...] | None):
-    """Rows (id, seed): distinct seed hashes of a text; of all given lengths, or of the text's own."""
+def _without(index: Index, threshold: float, at: int):
+    def run(batches):
+        for batch in parts(batches):
+            texts = binary(batch.column(at).cast(pa.string())).to_pylist()
+            yield batch.filter(pa.array([not index.any(word_hashes(tokens(t)), threshold) for t in texts], pa.bool_()))
+
+    return run
+
+
+def _seeds(least: int, lengths: tuple[int, ...]):
+    """Rows (rid, seed): distinct seed hashes of a text, of all given lengths."""
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            ids, seeds = [], []
-            for i, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist()):
-                h = hashes.of(tokens(text))
-                for k in lengths or (min(least, max(1, len(h))),):
-                    g = np.unique(gram_hashes(h, k)).view(np.int64)
-                    seeds.append(g)
-                    ids.append(np.full(len(g), i, np.int64))
-            join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join(ids)), pa.array(join(seeds))], names=["id", "seed"])
+        for batch in parts(batches):
+            texts = binary(batch.column(1)).to_pylist()
+            seeds = [np.unique(np.concatenate([gram_hashes(h, k) for k in lengths])).view(np.int64) for h in (word_hashes(tokens(t)) for t in texts)]
+            rows = np.repeat(np.arange(len(texts)), [len(x) for x in seeds])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(seeds))], names=["rid", "seed"])
 
     return run
 
 
-def _lengths(least: int):
-    """Rows (k): the distinct seed lengths of a batch's items, at most `least` values; items without words have none."""
+def _item_seeds(least: int):
+    """Rows (item, seed, k, reach, n): each item's distinct seeds of its own length k, the words that a seed can cover, the item's words."""
 
     def run(batches):
-        for batch in batches:
-            found = {min(least, len(tokens(text))) for text in binary(batch.column(0)).to_pylist()} - {0}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["k"])
+        for batch in parts(batches):
+            out = [[] for _ in range(5)]
+            for item, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist()):
+                h = word_hashes(tokens(text))
+                k = min(least, len(h))
+                if k:
+                    seeds, times = np.unique(gram_hashes(h, k), return_counts=True)
+                    for column, values in zip(out, (np.full(len(seeds), item), seeds.view(np.int64), np.full(len(seeds), k), times * k, np.full(len(seeds), len(h)))):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in out], names=["item", "seed", "k", "reach", "n"])
 
     return run
 
 
-def _pairs(least: int, threshold: float):
+def _listed(least: int, threshold: float):
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            rows = []
-            columns = (batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), binary(batch.column(3)).to_pylist())
-            for doc, text, item_id, item_text in zip(*columns):
-                for item, covered in Index([(item_id, item_text)], least).matches(hashes.of(tokens(text)), threshold):
-                    rows.append((doc, item_id, len(item.h), covered))
-            yield _emit(rows)
+        for batch in parts(batches):
+            rows, rids = [], []
+            for rid, doc, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)).to_pylist(), batch.column(3).to_pylist()):
+                h = word_hashes(tokens(text))
+                index = Index([(x["item_id"], x["item_text"].encode()) for x in items], least)
+                rows += [(doc, item.item_id, len(item.h), covered) for item, covered in index.matches(h, threshold)]
+                rids += [rid] * (len(rows) - len(rids))
+            yield pa.RecordBatch.from_arrays([*_emit(rows).columns, pa.array(rids, pa.int64())], names=[*NAMES, "rid"])
 
     return run
 
@@ -218,32 +242,69 @@ def _pairs(least: int, threshold: float):
 SCHEMA = "doc_id long, item_id long, n_item_words long, n_tiled long"
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
+def _index(items: DataFrame, least: int, broadcast_chars: int) -> Index | None:
+    """The items' seeds, or None if the items have more than broadcast_chars bytes."""
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size > broadcast_chars:
+        return None
+    return Index([(r.item_id, r.text.encode()) for r in items.orderBy("item_id", "text").collect()], least)
+
+
+def _joined(scratch: Scratch, base: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
+    """SCHEMA and rid of all matches, by a join on seeds; base: rid, doc_id, text.
+
+    A hot seed's side is split by Spark. Pairs whose shared seeds could not cover enough of the item go before
+    any text moves; a document's text then moves once, with the texts of its items.
+    """
+    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    of_items = scratch.keep(items.select("item", "text").mapInArrow(_item_seeds(least), "item long, seed long, k long, reach long, n long"), "item-seeds")
+    lengths = tuple(sorted(r.k for r in of_items.select("k").distinct().collect())) or (least,)  # at most `least` values
+    of_docs = base.select("rid", "text").mapInArrow(_seeds(least, lengths), "rid long, seed long")
+    pairs = of_docs.join(of_items, "seed").groupBy("rid", "item").agg(F.sum("reach").alias("reach"), F.first("n").alias("n"))
+    pairs = pairs.where(F.col("reach") >= threshold * F.col("n")).select("rid", "item")
+    listed = pairs.join(items.withColumnRenamed("text", "item_text"), "item").groupBy("rid").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    listed = scratch.keep(listed, "listed")
+    texts = only(base, listed, "rid").join(listed, "rid").select("rid", "doc_id", "text", "items")
+    return texts.mapInArrow(_listed(least, threshold), SCHEMA + ", rid long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = MATCH, threshold: float = THRESHOLD, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """doc_id, item_id, n_item_words, n_tiled, coverage: one row per distinct document and test item that reaches the threshold.
 
     Nulls, empty texts and texts of punctuation alone match nothing. An item of fewer than `least` words must
-    occur whole. Repeated rows give one row. Other columns of either table are ignored.
+    occur whole. Repeated rows give one row; rows without a doc_id, and items without an item_id, count as one
+    each. Texts of any length are read whole. Other columns of either table are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size <= broadcast_chars:
-        rows = items.orderBy("item_id", "text").collect()
-        index = Index([(r.item_id, r.text.encode()) for r in rows], least)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = _items(benchmark)
+    index = _index(items, least, broadcast_chars)
+    if index:
         found = base.mapInArrow(_scan(index, threshold), SCHEMA)
     else:
         scratch = Scratch(docs.sparkSession, "decontaminate")
-        lengths = tuple(sorted(r.k for r in items.select("text").mapInArrow(_lengths(least), "k int").distinct().collect())) or (least,)
-        of_items = items.mapInArrow(_seeds(least, None), "id long, seed long").withColumnRenamed("id", "item_id")
-        of_docs = base.mapInArrow(_seeds(least, lengths), "id long, seed long").withColumnRenamed("id", "doc_id")
-        pairs = scratch.keep(of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct(), "pairs")
-        with_docs = only(base, pairs, "doc_id").join(pairs, "doc_id")
-        both = with_docs.join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
-        found = both.mapInArrow(_pairs(least, threshold), SCHEMA)
+        base = scratch.keep(base.where("text is not null").withColumn("rid", F.monotonically_increasing_id()), "rows")
+        found = _joined(scratch, base, items, least, threshold)
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item_words", "n_tiled"), F.col("n_tiled") / F.col("n_item_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_item_words", "m.n_tiled", (F.col("m.n_tiled") / F.col("m.n_item_words")).alias("coverage"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", least: int = MATCH, threshold: float = THRESHOLD, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no test item; every row is judged on its own text, with or without an id."""
+    items = _items(benchmark)
+    index = _index(items, least, broadcast_chars)
+    if index:
+        return docs.mapInArrow(_without(index, threshold, docs.columns.index(text_col)), docs.schema)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows = scratch.keep(docs.select(F.struct(*docs.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    base = rows.select("rid", F.lit(None).cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").cast("string").alias("text")).where("text is not null")
+    leaks = scratch.keep(_joined(scratch, base, items, least, threshold).select("rid").distinct(), "leaks")
+    return rows.join(leaks, "rid", "left_anti").select("row.*")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

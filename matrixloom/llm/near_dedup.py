@@ -9,8 +9,9 @@ Candidates at most r apart are confirmed on their full shingle sets.
 Hot keys: equal shingle sets are collapsed first. In rounds, every member of a key that holds several
 components is then tried against one representative, the one it shares most keys with (no pairs
 within a group), and components are contracted. When a round links nothing more, the keys that still
-hold several components are compared across components, in blocks of bounded size; a pair comes
-from the first key that it shares only.
+hold several components are compared across components, in blocks of bounded size: the largest
+component's members with the others', and the others' among themselves. A pair comes from the first key
+that it shares only.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Scratch, WordHashes, binary, gram_hashes, mix, odd_multipliers, only, table, words_of
+from ._common import U64, Scratch, binary, gram_hashes, mix, odd_multipliers, only, parts, table, word_hashes, words_of
 
 SHINGLE, SLOTS, BITS, CHUNKS, MAX_DIFFERENT = 5, 64, 16, 16, 31
 #: Members of an index key that one task compares at once.
@@ -34,12 +36,12 @@ MAX_TURNS, LEAST_SHARE = 4, 0.05
 ONE_TASK_LINKS = 200_000
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes: of every k words, of the whole sequence if there are fewer, none without words."""
     words = words_of(text.lower()) if text else []  # bytes.lower() changes A-Z only
     if not words:
         return np.empty(0, U64)
-    h = hashes.of(words)
+    h = word_hashes(words)
     return np.unique(gram_hashes(h, min(k, len(words))) + U64(min(k, len(words))))
 
 
@@ -56,13 +58,10 @@ def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 
 def _fingerprints(batches):
-    hashes = WordHashes()
-    import xxhash
-
-    for batch in batches:
+    for batch in parts(batches):
         sizes, digests, sigs = [], [], []
         for text in binary(batch.column(1)).to_pylist():
-            s = shingle_set(text, hashes)
+            s = shingle_set(text)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s).tobytes() if len(s) else None)
@@ -200,24 +199,22 @@ def _blocks(different: int, chunks: int, percent: int | None):
 
 def _short_sets(batches):
     """Distinct lower halves of the shingle hashes, sorted; n is the size of the full set."""
-    hashes = WordHashes()
-    for batch in batches:
-        sets = [shingle_set(t, hashes) for t in binary(batch.column(1)).to_pylist()]
+    for batch in parts(batches):
+        sets = [shingle_set(t) for t in binary(batch.column(1)).to_pylist()]
         short = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary())], names=["id", "n", "shingles"])
 
 
 def _sets(batches):
-    hashes = WordHashes()
-    for batch in batches:
+    for batch in parts(batches):
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([shingle_set(t, hashes).tobytes() for t in binary(batch.column(1)).to_pylist()], pa.binary())], names=["id", "shingles"]
+            [batch.column(0), pa.array([shingle_set(t).tobytes() for t in binary(batch.column(1)).to_pylist()], pa.binary())], names=["id", "shingles"]
         )
 
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ok = []
             for i in range(batch.num_rows):  # views into the batch: sets are not copied
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), U64) for c in (2, 3))
@@ -294,6 +291,30 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def _dealt(scratch: Scratch, members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows (key, p, q, side, way, id, comp, sig) of the pairs of blocks in which keys of several components are compared.
+
+    members: key, way, id, comp. The members of a key's largest component (group 0) are not compared among
+    themselves, so they are dealt to the blocks of the others only, and the others (group 1) to theirs and to each
+    other: a stranger in a key of n linked members makes some n rows. Pairs of blocks of the others have p and q from
+    0, those with the largest component have p below 0. Others of one component are not compared either.
+    """
+    of_comp = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = of_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    keys = scratch.keep(keys.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.n")).alias("b0"), blocks(F.col("n") - F.col("top.n")).alias("b1"), (F.col("comps") > 2).alias("several")), "open")
+    m = members.join(keys, "key").withColumn("first", F.col("comp") == F.col("top"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("first"), F.col("b0")).otherwise(F.col("b1"))).cast("int"))
+    pair = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), side.cast("int").alias("side"))
+    other = lambda n: F.sequence(F.lit(0), n - 1)
+    with_others = F.transform(other(F.col("b1")), lambda q: pair(-1 - F.col("own"), q, F.lit(0)))
+    with_first = F.transform(other(F.col("b0")), lambda p: pair(-1 - p, F.col("own"), F.lit(1)))
+    among = F.transform(other(F.col("b1")), lambda q: pair(F.least("own", q), F.greatest("own", q), F.col("own") > q))
+    to = F.when(F.col("first"), with_others).when(F.col("several"), F.concat(with_first, among)).otherwise(with_first)
+    rows = m.select("key", "way", "id", "comp", F.explode(to).alias("to")).select("key", "to.p", "to.q", "to.side", "way", "id", "comp")
+    return rows.join(sigs, "id").select("key", "p", "q", "side", "way", "id", "comp", "sig")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, different: int = MAX_DIFFERENT, chunks: int = CHUNKS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -359,13 +380,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
 
     # keys that still hold several components: compare across components, in blocks
-    m = members()
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    opened = m.join(open_keys, "key", "left_semi").join(sigs, "id")
-    opened = opened.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = opened.select("key", "way", "id", "comp", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "way", "id", "comp", "sig")
-    dealt = scratch.keep(dealt, "dealt")
+    dealt = scratch.keep(_dealt(scratch, members(), sigs), "dealt")
     scratch.drop("shared")
     order = ("key", "p", "q")
     grouped = lambda df: df.repartition(*order).sortWithinPartitions(*order)

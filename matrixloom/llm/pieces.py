@@ -22,18 +22,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Scratch, mix, odd_multipliers, table
+from ._common import U64, Scratch, mix, odd_multipliers, parts, table
 from ._lattice import LONGEST_WORD, Lattice
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 15
-#: Characters that a worker encodes at once (some 60 bytes each), and rows that it hands on at once.
-BATCH_CHARS, BATCH_ROWS = 1 << 20, 2000
+#: Bytes of texts that a worker encodes at once (some 60 times as much memory).
+BATCH_BYTES = 1 << 20
 #: Pairs of pieces that the lattice of single words remembers (some 20 MB).
 AGREED = 100_000
 MARK = "▁"
@@ -477,17 +476,6 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """Parts of a batch of BATCH_CHARS bytes of a string column, one row at least, and BATCH_ROWS rows at most."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    a = 0
-    while a < batch.num_rows:
-        b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_CHARS, side="right"))
-        b = min(max(b, a + 1), a + BATCH_ROWS)
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def _same(model: Model, text: str | None, ids: list[int]) -> bool:
     return model.decode(ids) == (text or "").replace(MARK, " ")
 
@@ -495,13 +483,12 @@ def _same(model: Model, text: str | None, ids: list[int]) -> bool:
 def _short(path: str):
     def run(batches):
         model = _model(path)
-        for batch in batches:
-            for part in _slices(batch, 1):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, ends = model.encode_many([model.mark(t) for t in texts])
-                begins, flat = np.concatenate([[0], ends[:-1]]), ids.tolist()
-                same = [_same(model, t, flat[a:b]) for t, a, b in zip(texts, begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - begins, pa.int64()), _lists(ids, ends), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
+        for part in parts(batches, BATCH_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            ids, ends = model.encode_many([model.mark(t) for t in texts])
+            begins, flat = np.concatenate([[0], ends[:-1]]), ids.tolist()
+            same = [_same(model, t, flat[a:b]) for t, a, b in zip(texts, begins.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends - begins, pa.int64()), _lists(ids, ends), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])
 
     return run
 
@@ -509,12 +496,12 @@ def _short(path: str):
 def _chunks(path: str, chunk: int):
     def run(batches):
         model = _model(path)
-        for batch in batches:
+        for batch in parts(batches):
             for rid, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = cut(model, model.mark(text), chunk)
-                n = len(parts)
+                cuts = cut(model, model.mark(text), chunk)
+                n = len(cuts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rid] * n), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(v, t) for v, t in zip(zip(*parts), (pa.string(), pa.int32(), pa.int32())))], names=["rid", "doc_id", "part", "text", "begin", "end"]
+                    [pa.array([rid] * n), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(v, t) for v, t in zip(zip(*cuts), (pa.string(), pa.int32(), pa.int32())))], names=["rid", "doc_id", "part", "text", "begin", "end"]
                 )
 
     return run
@@ -523,7 +510,7 @@ def _chunks(path: str, chunk: int):
 def _matrices(path: str):
     def run(batches):
         model = _model(path)
-        for batch in batches:
+        for batch in parts(batches):
             rows = [json.dumps(Chunk(model, *row).matrix()) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "begin", "end")))]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("part"), pa.array(rows, pa.string())], names=["rid", "part", "matrix"])
 
@@ -539,14 +526,13 @@ def _states(table_: pa.Table) -> pa.Table:
 def _traced(path: str):
     def run(batches):
         model = _model(path)
-        for batch in batches:
-            for part in _slices(batch, batch.schema.get_field_index("text")):
-                rows = zip(*(part.column(c).to_pylist() for c in ("text", "begin", "end", "entry", "leave")))
-                heads, middles, tails = zip(*(Chunk(model, text, begin, end).traced(entry, leave) for text, begin, end, entry, leave in rows))
-                ids, ends = model.encode_many(list(middles))
-                cut = np.split(ids, ends[:-1])
-                lists = [np.concatenate([np.array(h, np.int32), m, np.array(t, np.int32)]) for h, m, t in zip(heads, cut, tails)]
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("part"), _lists(np.concatenate(lists), np.cumsum([len(x) for x in lists]))], names=["rid", "doc_id", "part", "ids"])
+        for part in parts(batches, BATCH_BYTES):
+            rows = zip(*(part.column(c).to_pylist() for c in ("text", "begin", "end", "entry", "leave")))
+            heads, middles, tails = zip(*(Chunk(model, text, begin, end).traced(entry, leave) for text, begin, end, entry, leave in rows))
+            ids, ends = model.encode_many(list(middles))
+            between = np.split(ids, ends[:-1])
+            lists = [np.concatenate([np.array(h, np.int32), m, np.array(t, np.int32)]) for h, m, t in zip(heads, between, tails)]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("part"), _lists(np.concatenate(lists), np.cumsum([len(x) for x in lists]))], names=["rid", "doc_id", "part", "ids"])
 
     return run
 
@@ -554,10 +540,10 @@ def _traced(path: str):
 def _join(path: str):
     def run(batches):
         model = _model(path)
-        for batch in batches:
+        for batch in parts(batches):
             lists, same = [], []
-            for parts, text in zip(batch.column("parts").to_pylist(), batch.column("text").to_pylist()):
-                ids = [i for p in sorted(parts, key=lambda p: p["part"]) for i in p["ids"]]
+            for cuts, text in zip(batch.column("parts").to_pylist(), batch.column("text").to_pylist()):
+                ids = [i for p in sorted(cuts, key=lambda p: p["part"]) for i in p["ids"]]
                 lists.append(ids)
                 same.append(_same(model, text, ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), _lists(np.array([i for x in lists for i in x], np.int32), np.cumsum([len(x) for x in lists])), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "same_text"])

@@ -17,17 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, MIX1, U64, Scratch, binary, mix, odd_multipliers, table, words_of
+from ._common import MIX1, U64, Scratch, binary, mix, odd_multipliers, parts, table, word_hashes, words_of
 
 BUCKETS, DIM = 1 << 16, 12
 GRAMS = (3, 5)
-#: Longer words are scored whole but not remembered.
-WORD_BYTES = 48
+#: Words that a scorer remembers (some 40 MB); longer ones than WORD_BYTES are scored whole but not remembered.
+CACHE_WORDS, WORD_BYTES = 200_000, 48
 #: Features are made for so many bytes at once; a longer word comes in parts.
 PART_BYTES = 1 << 18
 #: Labelled rows that training reads at most (the smallest hashes of doc_id), each whole, and bytes of their
 #: counted features that the driver holds at most (fewer rows if texts are so long).
-MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 5000, 128 << 20
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 5000, 64 << 20
 #: At least so many passes and so many steps of so many rows.
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 500, 32, 0.4, 11
 THRESHOLD = 0.3
@@ -48,7 +48,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     byte = np.frombuffer(b"".join(marked), np.uint8).astype(U64) + U64(1)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(byte))  # bytes to the end of the own word
     owner = np.repeat(np.arange(len(words)), length)
-    own, hashed = [np.arange(len(words))], [np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64)]
+    own, hashed = [np.arange(len(words))], [word_hashes(words)]
     for n in range(GRAMS[0], GRAMS[1] + 1):
         h = np.full(max(len(byte) - n + 1, 0), n, U64) * _MULTIPLIERS[-1]
         for k in range(n):
@@ -103,7 +103,7 @@ def run_features(runs: list[bytes]) -> np.ndarray:
     out = [np.empty(0, np.int64)]
     for run in map(bytes.split, runs):
         if run:
-            out += [*(p[1] for p in feature_parts(run)), pair_features(np.array([xxhash.xxh3_64_intdigest(w) for w in run], U64))]
+            out += [*(p[1] for p in feature_parts(run)), pair_features(word_hashes(run))]
     return np.concatenate(out)
 
 
@@ -113,7 +113,7 @@ def feature_counts(text: bytes | None) -> bytes:
     for a in range(0, len(words), part):
         for _, buckets, _ in feature_parts(words[a : a + part]):
             counts += np.bincount(buckets, minlength=BUCKETS)
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words[max(a - 1, 0) : a + part]], U64)
+        h = word_hashes(words[max(a - 1, 0) : a + part])
         counts += np.bincount(pair_features(h), minlength=BUCKETS)
     own = np.flatnonzero(counts)
     return counts[own].astype(np.uint32).tobytes() + own.astype(np.uint16).tobytes()
@@ -181,7 +181,7 @@ class Scorer:
         for a, buckets, sizes in feature_parts(words):
             total[a : a + len(sizes)] += np.add.reduceat(self.values[buckets], np.cumsum(sizes) - sizes)
             n[a : a + len(sizes)] += sizes
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in words], U64), total, n
+        return word_hashes(words), total, n
 
     def _add(self, words: list[bytes]) -> None:
         a, b = self.used, self.used + len(words)
@@ -222,7 +222,7 @@ class Scorer:
 
 
 def _counted(batches):
-    for batch in batches:
+    for batch in parts(batches):
         counted = [feature_counts(t) for t in binary(batch.column(1)).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counted, pa.binary())], names=["doc_id", "features"])
 
@@ -244,9 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     taken = [r.doc_id for r, end in zip(sizes, np.cumsum([r.n for r in sizes])) if end <= max_train_bytes]
     if len(taken) < len(sizes):
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_semi")
-    rows = rows.orderBy("doc_id").collect()
+    rows = rows.orderBy("doc_id").select("features", "quality").toArrow()
     scratch.drop("counted")
-    return train([bytes(r.features) for r in rows], [r.quality for r in rows])
+    return train([x.as_buffer() for x in rows["features"]], rows["quality"].to_pylist())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "
 
     def run(batches):
         scorer = Scorer(sent.value.astype(np.float64), bias)
-        for batch in batches:
+        for batch in parts(batches):
             text = binary(batch.column(at).cast(pa.string()))
             scores = pa.array([scorer(t) for t in text.to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[f.name for f in schema])

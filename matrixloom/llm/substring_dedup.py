@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, Scratch, WordHashes, binary, gram_hashes, only, table, words_of
+from ._common import U64, Scratch, binary, gram_hashes, only, parts, table, word_hashes, words_of
 
 WINDOW, GRAM = 35, 8
 #: Blocks of one anchor gram that are put in one tree (some 13 MB of words); beyond, they are split by a longer prefix.
@@ -54,14 +54,13 @@ def _digest(h: np.ndarray) -> bytes:
 
 
 def _prints(batches):
-    hashes = WordHashes()
-    for batch in batches:
+    for batch in parts(batches):
         n_words, digests, shas, keys, places, ends = [], [], [], [], [], [0]
         for text in binary(batch.column(1)).to_pylist():
             words = words_of(text)
             n_words.append(len(words))
             shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            h = hashes.of(words)
+            h = word_hashes(words)
             digests.append(_digest(h))
             if len(words) >= WINDOW:
                 g = gram_hashes(h, GRAM)
@@ -72,20 +71,19 @@ def _prints(batches):
         join = lambda parts, t: np.concatenate(parts) if parts else np.empty(0, t)
         lists = lambda v: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), pa.array(shas), lists(join(keys, np.int64)), lists(join(places, np.int32))],
-            names=["doc_id", "n_words", "digest", "sha", "grams", "places"],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(digests, pa.binary()), pa.array(shas), lists(join(keys, np.int64)), lists(join(places, np.int32)), batch.column(2)],
+            names=["doc_id", "n_words", "digest", "sha", "grams", "places", "none"],
         )
 
 
 def _blocks(batches):
     """Blocks of the windows whose anchor gram occurs again; c1 and c2 name the words of blocks of crowded grams."""
-    hashes = WordHashes()
     names = ["gram", "c1", "c2", "doc_id", "digest", "start", "words"]
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
-    for batch in batches:
+    for batch in parts(batches):
         out = [[] for _ in names]
         for doc, text, digest, places, crowded in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            h = hashes.of(words_of(text))
+            h = word_hashes(words_of(text))
             if _digest(h) != digest:
                 continue
             g = gram_hashes(h, GRAM)
@@ -214,12 +212,11 @@ def _trees(batches):
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in parts(batches):
         n_removed, shas, digests = [], [], []
-        hashes = WordHashes()
         for text, marks in zip(binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
             words = words_of(text)
-            digest = _digest(hashes.of(words))
+            digest = _digest(word_hashes(words))
             edge = np.zeros(len(words) + 1, np.int64)
             for m in marks:
                 if m["digest"] == digest:
@@ -235,10 +232,10 @@ def _remove(batches):
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(prints, ranges): one row per document, and the covered word ranges of documents whose sequence occurs once.
 
-    docs: doc_id long, text string. prints: doc_id, n_words, digest, sha (of all words), copies.
+    docs: doc_id long, text string, none boolean (without an id of its own). prints: doc_id, none, n_words, digest, sha (of all words), copies.
     ranges: doc_id, digest, from, to (end exclusive), overlapping.
     """
-    prints = scratch.keep(docs.mapInArrow(_prints, "doc_id long, n_words long, digest binary, sha string, grams array<long>, places array<int>"), "prints")
+    prints = scratch.keep(docs.mapInArrow(_prints, "doc_id long, n_words long, digest binary, sha string, grams array<long>, places array<int>, none boolean"), "prints")
     one = scratch.keep(prints.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(F.struct("doc_id", "grams", "places")).alias("one"), F.count("*").alias("copies")), "one")
     spots = one.select("one.doc_id", "digest", "copies", F.explode(F.arrays_zip("one.grams", "one.places")).alias("at")).select("doc_id", "digest", F.col("at.grams").alias("gram"), F.col("at.places").alias("place"))
     # written, so that the join's sides are both plain exchanges and Spark can split a hot gram's side
@@ -252,18 +249,20 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     ranges = ranges.unionByName(_crowded_ranges(scratch, blocks.where("c1 is not null")))
     ranges = scratch.keep(ranges, "ranges")
     scratch.drop("again", "blocks", "contents", "runs")
-    return prints.select("doc_id", "n_words", "digest", "sha").join(one.select("digest", "copies"), "digest", "left"), ranges
+    return prints.select("doc_id", "none", "n_words", "digest", "sha").join(one.select("digest", "copies"), "digest", "left"), ranges
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per input row.
 
     Nulls, empty and blank texts have no words (the hash of an empty string). Texts shorter than a
-    window lose nothing. Repeated rows are documents of their own, so all their windows repeat.
-    Other columns of `docs` are ignored.
+    window lose nothing; texts of any length are read whole. Repeated rows are documents of their own, so
+    all their windows repeat; so are rows without a doc_id. Other columns of `docs` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    given = F.col(id_col).cast("long")
+    # a row without an id goes by its text's hash; every use of an id is checked by the digest of the words
+    base = docs.select(F.coalesce(given, F.xxhash64(F.col(text_col).cast("string"))).alias("doc_id"), F.col(text_col).cast("string").alias("text"), given.isNull().alias("none"))
     prints, ranges = repeated_ranges(base, scratch)
     marks = ranges.join(prints.where("copies > 1").select("digest").distinct(), "digest", "left_anti")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "from", "to")).alias("marks"))
@@ -271,7 +270,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cut = cut.dropDuplicates(["doc_id", "digest"])
     all_gone = F.coalesce(F.col("copies") > 1, F.lit(False))
     return prints.join(cut, ["doc_id", "digest"], "left").select(
-        "doc_id",
+        F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,17 +15,17 @@ def test_words_follow_the_rule(text):
 
 
 def test_gram_hashes_tell_sequences_apart():
-    h = C.WordHashes().of([b"a", b"b", b"a", b"b", b"c"])
+    h = C.word_hashes([b"a", b"b", b"a", b"b", b"c"])
     g = C.gram_hashes(h, 2)
     assert g[0] == g[2] and len(set(g.tolist())) == 3 and len(C.gram_hashes(h, 6)) == 0
     assert C.gram_hashes(np.concatenate([h, h]), 5)[0] == C.gram_hashes(h, 5)[0]
 
 
-def test_word_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(C, "CACHE_WORDS", 3)
-    cache = C.WordHashes()
-    first = cache.of([b"%d" % i for i in range(10)])
-    assert len(cache) <= 3 and (first == C.WordHashes().of([b"%d" % i for i in range(10)])).all()
+def test_parts_of_batches():
+    texts = ["x" * 10, None, "y" * 25, "", "z", "z" * 9, "é" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    got = [p.column(1).to_pylist() for p in C.parts([batch, batch.slice(0, 0)], 10)]
+    assert got == [["x" * 10, None], ["y" * 25], ["", "z", "z" * 9], ["é" * 3]] and sum(got, []) == texts
 
 
 def test_sieved_semi_join(spark, monkeypatch):

@@ -89,3 +89,28 @@ def test_items_of_few_words_among_marks_are_joined(spark):
     items = spark.createDataFrame([(7, "- - - | | a b * * #")], "item_id long, text string")
     for chars in (1 << 20, 0):
         assert [(r.doc_id, r.item_id) for r in D.contaminated(docs, items, broadcast_chars=chars).collect()] == [(1, 7)]
+
+
+def test_equal_words_take_no_square_time():
+    import time
+
+    begun = time.perf_counter()
+    same, long = np.full(1000, 7, np.uint64), np.full(20_000, 7, np.uint64)
+    assert D.tile(same, long) == 1000 and D.tile(long, same) == 1000
+    index = D.Index([(1, b"a " * 1000), (2, b"a b " * 500)])
+    assert [(i.item_id, n) for i, n in index.matches(D.word_hashes(D.tokens(b"a " * 20_000)), 0.6)] == [(1, 1000)]
+    assert [(i.item_id, n) for i, n in index.matches(D.word_hashes(D.tokens(b"a b " * 10_000)), 0.6)] == [(2, 1000)]
+    assert time.perf_counter() - begun < 10
+
+
+def test_rows_without_ids(spark):
+    words = "the quick brown fox jumps over the lazy dog today"
+    docs = spark.createDataFrame([(None, f"x {words} y", 1), (None, "clean", 2), (5, "clean", 3), (5, words.upper(), 4), (6, None, 5), (7, "", 6)], "doc_id long, text string, rid int")
+    items = spark.createDataFrame([(None, words), (3, words), (4, None)], "item_id long, text string")
+    for chars in (1 << 20, 0):
+        got = {(r.doc_id, r.item_id, r.n_tiled) for r in D.contaminated(docs, items, broadcast_chars=chars).collect()}
+        assert got == {(None, None, 10), (None, 3, 10), (5, None, 10), (5, 3, 10)}
+        kept = D.without_leaks(docs, items, broadcast_chars=chars)
+        assert kept.columns == docs.columns and sorted(r.rid for r in kept.collect()) == [2, 3, 5, 6]
+        assert D.without_leaks(docs.limit(0), items, broadcast_chars=chars).count() == 0
+        assert D.without_leaks(docs, items.limit(0), broadcast_chars=chars).count() == 6

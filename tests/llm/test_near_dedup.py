@@ -122,3 +122,28 @@ def test_index_guarantee():
         assert set(k[i == 1]) & set(k[i == 2])
     with pytest.raises(ValueError):
         N._plan(64, 16, 64)
+
+
+def test_a_stranger_among_linked_members_makes_few_rows(spark):
+    """A key of many linked members and some others deals rows in proportion to its members."""
+    from matrixloom.llm._common import Scratch
+
+    n, sig = 20_000, b"\0" * 128
+    members = spark.range(n + 3).selectExpr("id % 2 as key", "0 as way", "id", f"case when id < {n} then 0 else id end as comp")
+    sigs = spark.range(n + 3).select("id", F.lit(sig).alias("sig"))
+    dealt = N._dealt(Scratch(spark, "t"), members, sigs)
+    assert dealt.count() <= n + 3 + 3 * (n // N.BLOCK + 4)
+    # every pair of members of different components meets in one block pair of their key
+    members = members.where(f"id % 500 = 0 or id >= {n}").withColumn("comp", F.expr(f"case when id < {n} then id div 8000 else id end"))
+    size, N.BLOCK = N.BLOCK, 4
+    try:
+        rows = N._dealt(Scratch(spark, "t"), members, sigs).collect()
+    finally:
+        N.BLOCK = size
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.key, r.p, r.q), []).append(r)
+    met = [frozenset((a.id, b.id)) for g in groups.values() for i, a in enumerate(g) for b in (g[i + 1 :] if g[0].p == g[0].q else g) if a.comp != b.comp and (g[0].p == g[0].q or (a.side, b.side) == (0, 1))]
+    own = [(r.key, r.id, r.comp) for r in members.collect()]
+    want = {frozenset((x, y)) for k, x, c in own for l, y, d in own if k == l and c != d}
+    assert len(met) == len(set(met)) and set(met) == want

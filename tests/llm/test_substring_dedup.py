@@ -56,3 +56,12 @@ def test_crowded_prefixes(spark, monkeypatch):
     monkeypatch.setattr(S, "GROUP_BLOCKS", 3)
     rows = corpus()
     assert result(S.substring_dedup(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_rows_without_an_id(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"u{rng.randrange(500)}" for _ in range(n))
+    passage, alone = text(50), text(70)
+    rows = [(7, f"{text(20)} {passage}"), (None, f"{passage} {text(9)}"), (None, alone), (None, alone), (9, f"{passage} {text(30)}"), (None, None), (None, text(80))]
+    got = [(r[0] or -1, *r[1:]) for r in S.substring_dedup(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got) == brute([(d or -1, t) for d, t in rows])
