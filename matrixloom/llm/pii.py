@@ -11,12 +11,15 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import parts, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -32,8 +35,6 @@ DIGIT = re.compile(r"[0-9]")
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρι", "ABEKMHOPCTXaeopcyxijsdhlABEZHIKMNOPTYXoavpi"))
 LOOKALIKES |= {"∙": ".", "·": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "＠": "@"}
 INVISIBLE = frozenset("\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad")
-STRANGE = re.compile("[Ͱ-ӿԀ-ԯ٠-٩۰-۹०-९⁰-₉\u2010\u2011\u2013\u2024−∙\u00ad·。\u200b-\u200f\u2060\ufeff！-～\U0001d400-\U0001d7ff]")
-
 # Digit words (fixed values), 0 to 9 in each language; "oh" is a zero between other digit words.
 DIGIT_WORDS = {
     w: str(i)
@@ -53,10 +54,10 @@ SPELLED_PART = re.compile(rf"\bplus\b|(?<![^\W_])(?:{_WORD})(?![^\W_])|[0-9]", r
 MIXED = re.compile(rf"(?:\bplus[\x20-]+)?(?<![^\W_])(?:(?:{_WORD})(?![^\W_])|[0-9]++)(?:(?:\x20+(?:dot|punkt|point|punto)\x20+|\x20?[.-]\x20?|(?<=[^\W\d_]),\x20?(?![0-9])|\x20{{1,3}})(?:(?:{_WORD})(?![^\W_])|[0-9]++))+", re.I)
 MIXED_PART = re.compile(rf"\bplus\b|(?<![^\W_])(?:{_WORD})(?![^\W_])|[0-9]+", re.I)
 
-AT = re.compile(r"\x20*(?:[\[({<]\x20*(?:at|ät|arroba|@)\x20*[\])}>]|_at_|-at-)\x20*", re.I)
-DOT = re.compile(r"\x20*(?:[\[({<]\x20*(?:dot|punkt|point|punto|\.)\x20*[\])}>]|_dot_|-dot-)\x20*", re.I)
+AT = re.compile(r"(?<!\x20)\x20*+(?:[\[({<]\x20*(?:at|ät|arroba|@)\x20*[\])}>]|_at_|-at-)\x20*", re.I)
+DOT = re.compile(r"(?<!\x20)\x20*+(?:[\[({<]\x20*(?:dot|punkt|point|punto|\.)\x20*[\])}>]|_dot_|-dot-)\x20*", re.I)
 #: user at host dot tld, in plain words: the words between must be a single host each.
-PLAIN = re.compile(r"(?<![^\s,;:<(\[])([A-Za-z0-9._%+-]{1,64})\x20+at\x20+([A-Za-z0-9-]+(?:\x20+dot\x20+[A-Za-z0-9-]+)+)(?![\w@])", re.I)
+PLAIN = re.compile(r"(?<![^\s,;:<(\[])([A-Za-z0-9._%+-]++)\x20+at\x20+([A-Za-z0-9-]+(?:\x20+dot\x20+[A-Za-z0-9-]+)+)(?![\w@])", re.I)
 PLAIN_PART = re.compile(r"\x20+(at|dot)\x20+", re.I)
 #: Letters that stand for digits, inside a run of digits.
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI](?=[\x20-]?[0-9])")
@@ -152,8 +153,19 @@ def plain_character(c: str) -> str:
     return c if value is None else str(value)
 
 
-def _look_alikes(copy: Copy) -> None:
-    copy.rewrite([(m.start(), m.end(), new) for m in STRANGE.finditer(copy.text) if (new := plain_character(m[0])) != m[0]])
+@lru_cache(maxsize=1 << 16)
+def _changed(c: str) -> bool:
+    return plain_character(c) != c
+
+
+def _strange(text: str) -> list[str]:
+    """The characters of the text that look like others or cannot be seen."""
+    return [] if text.isascii() else [c for c in set(text) if c > "\x7f" and _changed(c)]
+
+
+def _look_alikes(copy: Copy, strange: list[str]) -> None:
+    found = re.compile("[" + "".join(map(re.escape, strange)) + "]")
+    copy.rewrite([(m.start(), m.end(), plain_character(m[0])) for m in found.finditer(copy.text)])
 
 
 def _disguises(copy: Copy) -> None:
@@ -208,28 +220,30 @@ def _mixed(copy: Copy) -> None:
     copy.rewrite(pieces)
 
 
-def _may_be_spelled(low: str) -> bool:
-    return any(w in low for w in DIGIT_WORDS)
+_FIGURES = frozenset("0123456789 .,-")
 
 
-_FIGURES = frozenset("0123456789 .,-")
+def _rewritable(text: str) -> bool:
+    """Whether any rewriting below finds something in a text without strange characters."""
+    low = text.casefold()
+    if " dot " in low or AT.search(text) or DOT.search(text) or LETTER_DIGIT.search(text):
+        return True
+    return any(w in low for w in DIGIT_WORDS) and (SPELLED.search(text) is not None or any(not _FIGURES.issuperset(m[0]) for m in MIXED.finditer(text)))
+
 
+def hidden_spans(text: str, known: list[tuple[int, int, int]], *, gated: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind, end) in source characters of identifiers that only the rewritten copy shows.
 
-def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) in source characters of identifiers that only the rewritten copy shows."""
-    low = text.lower() if ("dot" in text or "DOT" in text or "Dot" in text or "@" in text or "t)" in text or "t]" in text or AT.search(text)) else ""
-    strange = not text.isascii() and STRANGE.search(text) is not None
-    disguised = bool(low) and (" dot " in low or AT.search(text) is not None or DOT.search(text) is not None)
-    spelled = _may_be_spelled(text.lower()) and (SPELLED.search(text) is not None or any(not _FIGURES.issuperset(m[0]) for m in MIXED.finditer(text)))
-    lettered = LETTER_DIGIT.search(text) is not None
-    if not (strange or disguised or spelled or lettered):
+    Texts without anything to rewrite are not copied; without `gated` all are, to the same result.
+    """
+    strange = _strange(text)
+    if gated and not strange and not _rewritable(text):
         return []
     copy = Copy(text)
     if strange:
-        _look_alikes(copy)
+        _look_alikes(copy, strange)
     _disguises(copy)
-    if lettered or strange:
-        copy.rewrite([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in LETTER_DIGIT.finditer(copy.text)])
+    copy.rewrite([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in LETTER_DIGIT.finditer(copy.text)])
     other = copy.twin()
     runs = _spelled(copy)
     found = [(*copy.source(a, b), k) for a, k, b in fixed_spans(copy.text)]
@@ -241,9 +255,15 @@ def hidden_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int
             found.append((*copy.source(a, b), 2))
         elif 9 <= len(digits) <= 15:
             found.append((*copy.source(a, b), 3))
-    new = {(a, k, b) for a, b, k in found if not any(x <= a and b <= y for x, _, y in known)}
-    # of spans of one kind, the widest
-    return sorted(s for s in new if not any(o != s and o[1] == s[1] and o[0] <= s[0] and s[2] <= o[2] for o in new))
+    # of spans of one kind the widest, and none inside a known one
+    starts, ends = [x for x, _, _ in known], list(accumulate((y for _, _, y in known), max))
+    out, reach = [], dict.fromkeys(range(len(KINDS)), -1)
+    for a, k, b in sorted({(a, k, b) for a, b, k in found}, key=lambda s: (s[0], -s[2])):
+        i = bisect_right(starts, a)
+        if b > reach[k] and not (i and ends[i - 1] >= b):
+            out.append((a, k, b))
+        reach[k] = max(reach[k], b)
+    return sorted(out)
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
@@ -264,7 +284,7 @@ def redact(text: str) -> str:
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in parts(batches):
         counts, shas, joined = [[] for _ in KINDS], [], []
         for text in batch.column(1).to_pylist():
             fixed = fixed_spans(text or "")
@@ -278,7 +298,8 @@ def _scan(batches):
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the fixed patterns), base_sha256, spans: one row per input row.
 
-    Nulls and empty texts have no spans (the hash of an empty string). spans holds the fixed patterns' and
+    Nulls and empty texts have no spans (the hash of an empty string); texts of any length are read whole, and
+    repeated rows one by one. spans holds the fixed patterns' and
     the deobfuscated ones, kind:start:end by start and then kind, in code points, end exclusive; a
     deobfuscated span inside a fixed one is not repeated. Other columns of `docs` are ignored.
     """
@@ -292,7 +313,7 @@ def redact_texts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = pa.array([None if t is None else redact(t) for t in batch.column(at).to_pylist()], pa.string())
             columns = list(batch.columns)
             columns[at] = texts

@@ -87,3 +87,31 @@ def test_figures_and_digit_words_mixed():
     assert hidden("nine nine nine dot one dot one dot one") == set() and hidden("four one one one 1111 1111 1112") == set()
     assert hidden("one or two of 12 3 and six, 7 of 1.5") == set()
     assert P.redact("x one dot one dot one dot one y") == "x [IP] y"
+
+
+def test_no_case_or_length_hides():
+    assert hidden("mail jane at host dOT example DoT com.") == {("email", "jane at host dOT example DoT com")}
+    assert hidden("x" * 200 + " at mail dot example dot com") == {("email", "x" * 200 + " at mail dot example dot com")}
+    assert hidden("call zwei null un oh zwei null un oh zwei now") == {("phone", "zwei null un oh zwei null un oh zwei")}
+    assert hidden("ip ①92.168.0.² here") == {("ip", "①92.168.0.²")}
+    assert hidden("met at noon, dot") == set() and hidden("(at) " * 3 + "(dot)") == set()
+
+
+def test_gates_hide_nothing():
+    rng = random.Random(8)
+    parts = ["one", "Two", "sechs", "oh", "PLUS", "dot", "dOt", " at ", "(at)", "[dot]", "_at_", "@", "4", "111", "+", ".", "-", " ", " ", " ", "l", "O", "а", "１", "\u200b", "x", "mail", "é", ",", "ſix"]
+    for n in range(4000):
+        text = "".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randint(1, 30)))
+        known = P.fixed_spans(text)
+        assert P.hidden_spans(text, known) == P.hidden_spans(text, known, gated=False), text
+
+
+def test_many_spans_and_long_runs_take_no_square_time():
+    import time
+
+    begun = time.perf_counter()
+    text = "a@b.com one dot one dot one dot one " * 10_000
+    assert len(P.hidden_spans(text, P.fixed_spans(text))) == 10_000
+    for c in (" ", "(", "( ", "at ", "a", "1", "one ", "1 ", ".", "[at"):
+        P.redact(c * (60_000 // len(c)))
+    assert time.perf_counter() - begun < 30
