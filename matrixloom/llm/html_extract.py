@@ -4,6 +4,10 @@ Every page's containers are scored by the text of the blocks in them, and the pa
 its best one: the tags and classes from the root, digits generalised. Spark adds the votes up per host.
 Each page is then read again with its host's winning path; a page without that path takes its own
 best container.
+
+Inside the container, elements that never hold an article's text go, and parts whose names say so
+("site-nav"). Names that only hint at it ("notice-period", "social-science") are put to the host's votes
+too: such a path goes if its text is mostly the same on the host's pages or mostly links.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import Scratch, parts, table
 
-#: Hosts whose winners are broadcast (some 100 bytes each); more are joined.
-BROADCAST_HOSTS = 50_000
-#: Characters of a path that are kept as text; longer ones go on as a hash.
+#: Paths of hosts that are broadcast (some 100 bytes each, 20 MB at most); more are joined.
+BROADCAST_PATHS = 50_000
+#: Longer paths go on as a hash of their text.
 PATH_CHARS = 400
 
 # Element classes of HTML (fixed values).
@@ -35,6 +39,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold the article's text.
 DROPPED = frozenset("aside button canvas dialog footer form head iframe input menu nav noembed noframes noscript object option script select style svg template textarea title xmp".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Words that may stand beside those in the name of such a part (fixed values); other words leave it to the host's votes.
+PART_WORDS = frozenset(
+    "a area article bar block body bottom box btn button buttons c column container content desktop drawer element first fixed floating form global group header holder icons inline inner item items js l last layer "
+    "left level line link links list main mobile module n number outer overlay page panel placeholder posts primary r region right row s secondary section signup site slot small sticky strip tabs text the thread top unit wrap wrapper zone".split()
+)
+#: Words that mark a part whatever stands beside them: adverts and reader comments.
+ALWAYS_WORDS = frozenset("ad ads adv advert advertisement advertising adverts comment comments disqus promo promoted promotion replies reply respond sponsor sponsored".split())
+#: A path that names hint at goes if so much of its text is links, or if its different texts are at most this share of its pages.
+LINKED, DIFFERENT = 0.5, 0.5
 #: A part that words mark is kept if it holds so much of the page's text, or more article text than is outside such parts.
 MOST = 0.8
 #: Words of a class or id that mark such parts.
@@ -46,10 +59,11 @@ IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 #: An implied end does not reach beyond these.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[\"'])*+)>", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[\"'])*+)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORDS = re.compile(r"[a-z]+")
 NUMBER = re.compile(r"[0-9]+")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -61,22 +75,29 @@ def _drops(tag: str, attrs: dict[str, str]) -> bool:
     return tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or attrs.get("aria-hidden") == "true"
 
 
-def _marked(attrs: dict[str, str], first: bool = False) -> bool:
-    """Whether a word of the class or id is a dropped part's; or the first word of one of its names."""
+def _marked(attrs: dict[str, str], first: bool = False) -> int:
+    """2 if a name among class and id is a dropped part's, 1 if one hints at it; with `first`, 2 for any whose first word does."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     if names == " ":
-        return False
-    names = CAMEL.sub(" ", names).lower()
-    return not DROPPED_WORDS.isdisjoint([w for n in names.split() for w in WORDS.findall(n)[:1]] if first else WORDS.findall(names))
+        return 0
+    found = 0
+    for name in CAMEL.sub(" ", names).lower().split() if first else names.split():
+        words = WORDS.findall(CAMEL.sub(" ", name).lower())
+        if first:
+            words = words[:1]
+        if not DROPPED_WORDS.isdisjoint(words):
+            sure = first or not ALWAYS_WORDS.isdisjoint(words) or all(w in DROPPED_WORDS or w in PART_WORDS for w in words)
+            found = max(found, 1 + sure)
+    return found
 
 
 class Doubt:
-    """A part marked by words, or the page outside such parts: its text, and that in articles."""
+    """A part marked by words, or the page outside such parts: its text, and that in articles; path if words only hint at it."""
 
-    __slots__ = ("around", "chars", "articles", "kept")
+    __slots__ = ("around", "chars", "articles", "linked", "digest", "kept", "path")
 
-    def __init__(self, around: Doubt | None):
-        self.around, self.chars, self.articles, self.kept = around, 0, 0, False
+    def __init__(self, around: Doubt | None, path: str | None = None):
+        self.around, self.chars, self.articles, self.linked, self.digest, self.kept, self.path = around, 0, 0, 0, 0, False, path
 
 
 class Node:
@@ -95,13 +116,23 @@ class Block:
         self.text, self.node, self.linked, self.doubt = text, node, linked, doubt
 
 
-def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
-    """Text blocks outside dropped parts, in page order; node is the innermost container around. Without marks, words drop nothing."""
+def _path(around: str, tag: str, attrs: dict[str, str]) -> str:
+    label = ".".join([tag, *sorted(NUMBER.sub("N", c) for c in attrs.get("class", "").split())])
+    path = f"{around}>{label}" if around else label
+    return path if len(path) <= PATH_CHARS else "#" + xxhash.xxh3_128_hexdigest(path)
+
+
+def blocks_of(html: str | None, marks: bool = True, gone: frozenset[str] = frozenset(), hinted: list | None = None) -> list[Block]:
+    """Text blocks outside dropped parts, in page order; node is the innermost container around. Without marks, words drop nothing.
+
+    gone: paths that names hint at and the host dropped. hinted: gets (path, characters, of links, digest of the text) of the parts that names hint at.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str, Node | None, bool, bool, Doubt | None, bool]] = []  # tag, path, container, dropped, in an article, marked part, in its article
     top = ("", "", None, False, False, None, False)
     page, doubts, marked_any = Doubt(None), [], False
-    open_tags: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # places of a tag's open elements
+    blocks_at: list[int] = []  # places of open elements that are no inline ones
     parts: list[str] = []
     linked = node = 0
 
@@ -114,13 +145,17 @@ def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
                 out.append(Block(text, container, linked, part))
                 part = part or page
                 part.chars += len(text)
+                part.linked += linked
+                part.digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), part.digest)
                 part.articles += len(text) * within
             parts.clear()
             linked = 0
 
     def pop() -> str:
         tag = stack.pop()[0]
-        open_tags[tag] -= 1
+        open_at[tag].pop()
+        if blocks_at and blocks_at[-1] == len(stack):
+            blocks_at.pop()
         return tag
 
     def add(raw: str, decode: bool = True) -> None:
@@ -128,12 +163,11 @@ def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
         if raw and not (stack and stack[-1][3]):
             text = entities.unescape(raw) if decode and "&" in raw else raw
             parts.append(text)
-            if open_tags.get("a"):
+            if open_at.get("a"):
                 linked += len(text.strip())
 
     html = html or ""
     at, search = 0, TOKEN.search
-    lower = None
     while m := search(html, at):
         add(html[at : m.start()])
         at = m.end()
@@ -144,24 +178,23 @@ def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
         tag = m["tag"].lower()
         inline = tag in INLINE
         if m["end"]:
-            if open_tags.get(tag):
+            if open_at.get(tag):
                 if not inline:
                     flush()
-                if not inline or any(stack[i][0] == tag for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1)):
-                    depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-                    # an inline end does not close the blocks inside it
-                    if not inline or all(s[0] in INLINE for s in stack[depth:]):
-                        while len(stack) > depth:
-                            pop()
+                depth = open_at[tag][-1]
+                # an inline end does not close the blocks inside it
+                if not inline or not blocks_at or blocks_at[-1] < depth:
+                    while len(stack) > depth:
+                        pop()
             elif tag in ("br", "p"):
                 add(" ")
             continue
-        if open_tags.get("head") and tag not in HEAD_ONLY:
+        if open_at.get("head") and tag not in HEAD_ONLY:
             while pop() != "head":
                 pass
         if not inline:
             flush()
-            if tag in CLOSES_P and open_tags.get("p"):
+            if tag in CLOSES_P and open_at.get("p"):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         while len(stack) > i:
@@ -192,38 +225,40 @@ def blocks_of(html: str | None, marks: bool = True) -> list[Block]:
             dropped = _drops(tag, attrs) or tag == "header" and not inside
             if tag in ("article", "main"):
                 within = within or doubt is None or not _marked(attrs, True)
-            elif marks and not dropped and tag not in ("body", "html") and _marked(attrs):
-                marked_any = True
+            elif marks and not dropped and tag not in ("body", "html") and (sure := _marked(attrs)):
+                own = None if sure == 2 else _path(path, tag, attrs)
                 if inline:
-                    dropped = True
-                else:
-                    doubt, within = Doubt(doubt), False
+                    dropped = sure == 2
+                    marked_any = marked_any or dropped
+                elif own is None or own in gone or hinted is not None:
+                    marked_any = True
+                    doubt, within = Doubt(doubt, None if own in gone else own), within and own is not None and own not in gone
                     doubts.append(doubt)
         elif tag in HEADINGS and any(s[0] == "header" and s[4] and s[3] for s in stack) and not any(s[3] and s[0] != "header" for s in stack):
             dropped = False
         if tag == "header" and inside:
             dropped = True
         if tag in CONTAINERS or tag in ("html", "table", "tr", "ul", "ol"):
-            label = ".".join([tag, *sorted(NUMBER.sub("N", c) for c in attrs.get("class", "").split())])
-            path = f"{path}>{label}" if path else label
-            if len(path) > PATH_CHARS:
-                path = "#" + xxhash.xxh3_128_hexdigest(path)
+            path = _path(path, tag, attrs)
             if tag in CONTAINERS:
                 node += 1
                 around = Node(node, path, around)
         stack.append((tag, path, around, dropped, inside, doubt, within))
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        open_at.setdefault(tag, []).append(len(stack) - 1)
+        if not inline:
+            blocks_at.append(len(stack) - 1)
         if tag in RAW and m["attrs"][-1:] != "/":
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
+            end = RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
     add(html[at:])
     flush()
     if not marked_any:
         return out
     total = page.chars + sum(d.chars for d in doubts)
+    if hinted is not None:  # each with its own text, without that of inner ones
+        hinted += [(d.path, d.chars, d.linked, d.digest) for d in doubts if d.path is not None and d.chars]
     for d in reversed(doubts):  # inner ones first
-        d.kept = d.articles > page.articles or 0 < MOST * total <= d.chars
+        d.kept = d.path is not None or d.articles > page.articles or 0 < MOST * total <= d.chars
         if d.kept and d.around:
             d.around.chars += d.chars
             d.around.articles += d.articles
@@ -286,15 +321,19 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+VOTES = "host string, path string, hinted boolean, score double, chars long, linked long, digest long"
+
+
 def _votes(batches):
-    for batch in batches:
-        hosts, paths, scores = [], [], []
+    for batch in parts(batches):
+        rows = []
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if best := best_path(blocks_of(html)):
-                hosts.append(host_of(url))
-                paths.append(best[0])
-                scores.append(min(best[1], 5000.0))  # one long page does not outvote a host
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+            hinted, host = [], host_of(url)
+            if best := best_path(blocks_of(html, hinted=hinted)):
+                rows.append((host, best[0], False, best[1], None, None, None))
+            rows += [(host, path, True, None, chars, linked, digest - (1 << 63)) for path, chars, linked, digest in hinted]
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "path", "hinted", "score", "chars", "linked", "digest"])
 
 
 def _hosts(batches):
@@ -303,42 +342,57 @@ def _hosts(batches):
 
 
 def _texts(batches):
-    for batch in batches:
-        texts = [text_of(blocks_of(h), w) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+    for batch in parts(batches):
+        texts = [text_of(blocks_of(h, gone=frozenset(g or ())), w) for h, w, g in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _texts_with(winners: dict[str, str]):
+def _texts_with(winners: dict[str, str], gone: dict[str, list[str]]):
     def run(batches):
         for batch in batches:
-            won = pa.array([winners.get(host_of(u)) for u in batch.column(1).to_pylist()], pa.string())
-            yield from _texts([pa.RecordBatch.from_arrays([*batch.columns, won], names=["page_id", "url", "html", "path"])])
+            hosts = [host_of(u) for u in batch.column(1).to_pylist()]
+            more = [pa.array([winners.get(h) for h in hosts], pa.string()), pa.array([gone.get(h) for h in hosts], pa.list_(pa.string()))]
+            yield from _texts([pa.RecordBatch.from_arrays([*batch.columns, *more], names=["page_id", "url", "html", "path", "gone"])])
 
     return run
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host, by pages, then total score, then name."""
-    votes = pages.select("url", "html").mapInArrow(_votes, "host string, path string, score double")
-    tally = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3)).alias("score"))
-    return tally.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path"))
+def consensus(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, path, hinted): of each host the winning path, by pages, then total score, then name; and the hinted paths to drop."""
+    votes = scratch.keep(pages.select("url", "html").mapInArrow(_votes, VOTES), "votes")
+    tally = votes.where("not hinted").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score", 3)).alias("score"))
+    winners = tally.groupBy("host").agg(F.max_by("path", F.struct("n", "score", "path")).alias("path")).withColumn("hinted", F.lit(False))
+    texts = votes.where("hinted").groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    paths = texts.groupBy("host", "path").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    same = (F.col("n") > 1) & (F.col("texts") <= DIFFERENT * F.col("n"))
+    gone = paths.where(same | (F.col("linked") > LINKED * F.col("chars"))).select("host", "path", F.lit(True).alias("hinted"))
+    return scratch.keep(winners.unionByName(gone), "consensus")
 
 
-def extract(pages: DataFrame, *, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, *, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """page_id, url, text, n_chars: one row per input row.
 
-    Null and empty pages have an empty text. Pages without a usable url vote together, under an empty host.
-    Broken markup is read as browsers do in the common cases; text outside any element is text. Blocks are
-    joined by blank lines. Other columns of `pages` are ignored.
+    Null and empty pages have an empty text. Pages without a usable url vote together, under an empty host;
+    repeated rows vote as often as they occur. Broken markup is read as browsers do in the common cases; text
+    outside any element is text; pages of any length and depth are read whole. Blocks are joined by blank
+    lines. Other columns of `pages` are ignored.
     """
+    scratch = Scratch(pages.sparkSession, "html-extract")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    winners = winning_paths(base)
+    voted = consensus(base, scratch)
     schema = "page_id long, url string, text string, n_chars long"
-    few = winners.limit(broadcast_hosts + 1).collect()
-    if len(few) <= broadcast_hosts:
-        return base.mapInArrow(_texts_with({r.host: r.path for r in few}), schema)
+    few = voted.limit(broadcast_paths + 1).collect()
+    if len(few) <= broadcast_paths:
+        gone: dict[str, list[str]] = {}
+        for r in few:
+            if r.hinted:
+                gone.setdefault(r.host, []).append(r.path)
+        return base.mapInArrow(_texts_with({r.host: r.path for r in few if not r.hinted}, gone), schema)
+    of_host = voted.groupBy("host").agg(F.max(F.when(~F.col("hinted"), F.col("path"))).alias("path"), F.collect_list(F.when(F.col("hinted"), F.col("path"))).alias("gone"))
+    # written, so that the join's sides are both plain exchanges and Spark can split a hot host's pages
+    of_host = scratch.keep(of_host, "hosts")
     with_host = base.mapInArrow(_hosts, "page_id long, url string, html string, host string")
-    return with_host.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_texts, schema)
+    return with_host.join(of_host, "host", "left").select("page_id", "url", "html", "path", "gone").mapInArrow(_texts, schema)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
