@@ -3,7 +3,8 @@
 Records are ordered by (hash of the text, doc_id, row number), so equal texts lie side by side. A sample
 that takes records in proportion to their size gives quantile boundaries, by which records are dealt into
 many ranges; ranges that turn out overfull are sampled again and subdivided. Exact totals of the ranges
-then give every record its exact place in the order, and a shard is an eighth of all bytes.
+then give every record its exact place in the order, and a shard is an eighth of all bytes. A group of
+equal texts stays in one shard unless it is large: a boundary that falls in a small group moves to its end.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ SHARDS = 8
 RANGE_ROWS, RANGES, SAMPLES = 200_000, (32, 8192), 32
 #: A range is overfull beyond so many times its share of rows or bytes; rounds of subdividing.
 OVERFULL, ROUNDS = 4, 4
+#: Groups of equal texts of at most this share of a shard's bytes are never parted.
+WHOLE = 1 / 32
+LEAST = -(1 << 63)
 
 
 def _place(keys: np.ndarray):
@@ -48,9 +52,10 @@ def _chosen(rate: Column) -> Column:
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row.
 
-    size is the text's UTF-8 bytes plus 1. A null text counts as empty (size 1, crc 0). Shards differ by at
-    most one record's size from an equal share; equal texts are neighbours and are parted only where a
-    boundary falls among them. Repeated rows are records of their own. Other columns are ignored.
+    size is the text's UTF-8 bytes plus 1. A null text counts as empty (size 1, crc 0). Boundaries between shards
+    lie at equal shares of all bytes, but for the rest of one record, or of a group of equal texts of at most
+    WHOLE of a share, which is not parted; larger groups are. Repeated rows are records of their own, and texts of
+    any length are read whole. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -61,14 +66,14 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
-    records = scratch.keep(records.withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("rid", F.monotonically_increasing_id()), "records")
+    records = scratch.keep(records.withColumn("order", F.coalesce("doc_id", F.lit(LEAST))).withColumn("rid", F.monotonically_increasing_id()), "records")
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     wanted = int(min(max(rows // RANGE_ROWS, RANGES[0]), RANGES[1]))
 
     def sample(frame: DataFrame, rate, ranges: int) -> list[tuple]:
-        """Quantile boundaries of a sample of some SAMPLES * ranges keys."""
-        got = sorted(tuple(r) for r in frame.where(_chosen(rate)).select("h", "order", "rid").collect())
-        return [got[i * len(got) // ranges] for i in range(1, ranges)] if got else []
+        """Quantile boundaries of a sample of some SAMPLES * ranges keys, each at the start of its text's group."""
+        got = sorted(r.h for r in frame.where(_chosen(rate)).select("h").collect())
+        return [(got[i * len(got) // ranges], LEAST, LEAST) for i in range(1, ranges)] if got else []
 
     keys = sorted(set(sample(records, F.col("size") * (SAMPLES * wanted / max(total, 1)), wanted)))
     schema = "doc_id long, size long, text_crc32 long, h long, `order` long, rid long, range int"
@@ -90,7 +95,9 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         for r, x in full.items():
             got = sorted(tuple(a)[1:] for a in added if a["range"] == r)
             parts = int(np.ceil(x))
-            keys += [got[i * len(got) // parts] for i in range(1, parts)] if got else []
+            for key in [got[i * len(got) // parts] for i in range(1, parts)] if got else []:
+                start = (key[0], LEAST, LEAST)
+                keys.append(start if start not in keys else key)  # within a group only where it spans boundaries
         keys = sorted(set(keys))
 
     before, offsets = [0, 0], []
@@ -100,8 +107,10 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     offsets = spark.createDataFrame(offsets, "range int, bytes_before long, rows_before long")  # a row for each range
     inside = Window.partitionBy("range").orderBy("h", "order", "rid")
     placed = ranged.withColumn("row", F.row_number().over(inside) - 1).withColumn("cum", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(F.broadcast(offsets), "range")
-    at = F.floor((F.col("cum") + F.col("bytes_before")).cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int")
+    group = Window.partitionBy("range", "h")
+    small = F.sum("size").over(group) * shards <= F.lit(WHOLE * total)
+    placed = placed.withColumn("from", F.when(small, F.min("cum").over(group)).otherwise(F.col("cum"))).join(F.broadcast(offsets), "range")
+    at = F.floor((F.col("from") + F.col("bytes_before")).cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(38,0)")).cast("int")
     placed = scratch.keep(placed.select("doc_id", "size", "text_crc32", F.least(at, F.lit(shards - 1)).alias("shard"), (F.col("row") + F.col("rows_before")).alias("place")), "placed")
     first = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("place").alias("first")).collect()}
     start = F.get(F.array(*[F.lit(first.get(i, 0)).cast("long") for i in range(shards)]), F.col("shard"))

@@ -20,12 +20,15 @@ def check(rows, df, shards=8):
         by[r.shard].append(r)
     for rs in by.values():
         assert sorted(r.slot for r in rs) == list(range(len(rs)))
-    # brute force: shard boundaries on the whole order
+    # brute force: shard boundaries on the whole order; small groups of equal texts as a whole
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     order = sorted((signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), d if d is not None else -(1 << 63), size(t)) for d, t in rows)
-    cum, expect = 0, defaultdict(int)
+    cum, expect, group, start = 0, defaultdict(int), defaultdict(int), {}
+    for h, _, s in order:
+        group[h] += s
     for h, d, s in order:
-        expect[d, s, min(shards - 1, cum * shards // total)] += 1
+        small = group[h] * shards <= S.WHOLE * total
+        expect[d, s, min(shards - 1, (start.setdefault(h, cum) if small else cum) * shards // total)] += 1
         cum += s
     for r in got:
         expect[r.doc_id if r.doc_id is not None else -(1 << 63), r.size, r.shard] -= 1
@@ -47,6 +50,18 @@ def test_hot_and_odd_rows(spark, monkeypatch, ranges):
     check(rows, S.shard(df))
 
 
+def test_small_groups_stay_whole(spark):
+    rows = [(i * 7 + j, f"text {i} " * (i % 9)) for i in range(400) for j in range(i % 5 + 1)]
+    df = S.shard(spark.createDataFrame(rows, "doc_id long, text string"))
+    check(rows, df)
+    of_text, got, size = dict(rows), defaultdict(set), defaultdict(int)
+    for r in df.collect():
+        got[of_text[r.doc_id]].add(r.shard)
+        size[of_text[r.doc_id]] += r.size
+    small = [t for t, n in size.items() if n * 8 <= S.WHOLE * sum(size.values())]
+    assert len(small) > 200 and all(len(got[t]) == 1 for t in small) and len(set.union(*got.values())) == 8
+
+
 def test_empty(spark):
     assert S.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
