@@ -36,4 +36,4 @@ def test_stages_keep_columns_and_odd_rows(spark):
         if name == "near duplicates":
             assert ids == [0, 1, 2, 3, 4]
         assert stage(spark, docs.limit(0), SF).count() == 0
-    assert corpus_pipeline.encoding(spark, docs, SF).count() == 6
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
