@@ -1,64 +1,5 @@
-"""From raw documents to training pieces: quality, near-duplicates, benchmark leaks, personal data, encoding.
+"""The corpus pipeline: five stages over whole documents, from quality to training pieces. See matrixloom/llm/pipeline.py."""
 
-Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and, but for the
-last, returns the columns of documents. ``run`` writes each stage's rows and reads them again.
-"""
+from matrixloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from matrixloom.llm import decontaminate, near_dedup, pieces, pii, quality_classifier
-from matrixloom.llm._common import Scratch, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, out_col="__quality")
-    return scored.where(F.col("__quality") >= quality_classifier.THRESHOLD).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; repeated rows once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "text"])
-
-
-def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
-    return pii.redact_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids, same_text of every document."""
-    return pieces.encode(docs)
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("near duplicates", near_duplicates),
-    ("benchmark leaks", benchmark_leaks),
-    ("personal data", personal_data),
-    ("sentencepiece", encoding),
-]
-
-#: Training, components, tiling and best paths are not SQL; tests hold the rows against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.keep(docs, f"stage{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
