@@ -1,4 +1,4 @@
-"""Matrices as DataFrames: dense (row, values) and compressed sparse rows (row, indices, values).
+"""Matrices as DataFrames: dense (row, values), compressed sparse rows (row, indices, values), or entries (row, col, value).
 
 Selections are lazy plans. Rows are found by pushed-down ranges where arithmetic allows and by an equi-join
 otherwise; columns are array expressions, so neither needs a shuffle of the cells.
@@ -23,6 +23,10 @@ from .axis import AxisSpec, normalize_axis, normalize_key
 WIDE = 64
 #: Rows of a bucket in which running sums are taken at once.
 BUCKET = 1 << 16
+#: Cells that a worker makes dense at once (some 100 MB).
+CELLS = 1 << 22
+#: Batches that one task packs for the driver.
+BATCHES = 16
 
 
 def dense_schema(d: DType) -> T.StructType:
@@ -42,6 +46,8 @@ class Matrix:
     n_cols: int
     dtype: DType
     meta: dict = field(default_factory=dict, compare=False)
+    #: The matrix itself where the driver has it already.
+    local: np.ndarray | None = field(default=None, compare=False, repr=False)
 
     kind = ""
     ndim = 2
@@ -71,7 +77,7 @@ class Matrix:
         frame = self._rows(r)
         if c.kind != "all":
             frame = self._columns(frame, c)
-        return replace(self, frame=frame, n_rows=r.length, n_cols=c.length, meta={})
+        return replace(self, frame=frame, n_rows=r.length, n_cols=c.length, meta={}, local=None)
 
     def _columns(self, frame: DataFrame, spec: AxisSpec) -> DataFrame:
         raise NotImplementedError
@@ -80,7 +86,7 @@ class Matrix:
         """Rows by a table (pos, row) of any size; positions run from 0."""
         n = request.count() if n_rows is None else n_rows
         frame = self.frame.join(request.select("row", "pos"), "row").drop("row").withColumnRenamed("pos", "row").select(*self.frame.columns)
-        return replace(self, frame=frame, n_rows=n, meta={})
+        return replace(self, frame=frame, n_rows=n, meta={}, local=None)
 
     def keep(self, rows: DataFrame) -> Matrix:
         """Rows whose number is in a table (row), in ascending order and numbered anew; the relational form of a mask."""
@@ -100,6 +106,8 @@ class Matrix:
 
     def to_numpy(self) -> np.ndarray:
         """The whole matrix on the driver; meant for selections that fit there."""
+        if self.local is not None:
+            return self.local
         got = self.to_dense().frame.select("row", "values").toArrow()
         out = np.zeros(self.shape, self.dtype.numpy)
         if got.num_rows and self.n_cols:
@@ -122,11 +130,20 @@ class Matrix:
             raise ValueError(f"row range {start}:{stop} is not within 0:{self.n_rows}")
         return self.select(slice(start, stop))
 
-    def iter_batches(self, batch_rows: int = 1024) -> Iterator[Matrix]:
+    def batches(self, batch_rows: int = 1024) -> DataFrame:
+        """(batch_id, first_row, n_rows, data): each batch's dense cells as bytes, batches in order of partitions; one shuffle of rows."""
         if batch_rows < 1:
             raise ValueError("batch_rows must be at least 1")
-        for a in range(0, self.n_rows, batch_rows):
-            yield self.select(slice(a, min(a + batch_rows, self.n_rows)))
+        rows = self.to_dense().frame.select(F.expr(f"row div {batch_rows}").alias("batch_id"), F.col("row").alias("pos"), "values")
+        packed = packed_batches(rows, -(-self.n_rows // batch_rows), self.dtype, self.n_cols)
+        return packed.select("batch_id", (F.col("batch_id") * batch_rows).alias("first_row"), F.col("n").alias("n_rows"), "data")
+
+    def iter_batches(self, batch_rows: int = 1024) -> Iterator[DenseFrame]:
+        """Batches of rows in order, already on the driver; one job streams them, BATCHES a task."""
+        dense = self.to_dense()
+        for b in self.batches(batch_rows).toLocalIterator(prefetchPartitions=True):
+            array = np.frombuffer(b.data, self.dtype.numpy).reshape(b.n_rows, self.n_cols)
+            yield replace(dense.select(slice(b.first_row, b.first_row + b.n_rows)), local=array)
 
     def iter_rows(self) -> Iterator[np.ndarray]:
         for batch in self.iter_batches():
@@ -219,16 +236,8 @@ class CsrFrame(Matrix):
         return DenseFrame(frame, self.n_rows, self.n_cols, self.dtype)
 
     def indptr(self) -> DataFrame:
-        """(i, value): the n_rows + 1 running totals of stored entries, by bucket sums and windows inside buckets."""
-        from pyspark.sql import Window
-
-        rows = self.spark.range(self.n_rows).withColumnRenamed("id", "row")
-        sized = rows.join(self.frame.select("row", F.size("indices").cast("long").alias("n")), "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"row div {BUCKET}").alias("bucket"))
-        sums = sized.groupBy("bucket").agg(F.sum("n").alias("s"))
-        before = sums.withColumn("before", F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("before", F.lit(0)).alias("before"))
-        inside = Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-        ends = sized.withColumn("value", F.sum("n").over(inside)).join(before, "bucket").select((F.col("row") + 1).alias("i"), (F.col("value") + F.col("before")).alias("value"))
-        return self.spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("value")).unionByName(ends)
+        """(i, value): the n_rows + 1 running totals of stored entries."""
+        return running_totals(self.frame.select("row", F.size("indices").cast("long").alias("n")), self.n_rows)
 
     def tocsr(self):
         """(data, indices, indptr) arrays on the driver, or a scipy matrix where scipy is installed."""
@@ -251,12 +260,64 @@ class CsrFrame(Matrix):
         return super().info() | {"nnz": self.nnz}
 
 
+def running_totals(counted: DataFrame, n_rows: int) -> DataFrame:
+    """(i, value) for i from 0 to n_rows: sums of n over the rows (row, n) before i; by bucket sums and windows inside buckets."""
+    from pyspark.sql import Window
+
+    spark = counted.sparkSession
+    rows = spark.range(n_rows).withColumnRenamed("id", "row")
+    sized = rows.join(counted, "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"row div {BUCKET}").alias("bucket"))
+    # of the counted rows alone: a row without entries adds nothing, and before an empty bucket the last total holds
+    sums = counted.groupBy(F.expr(f"row div {BUCKET}").alias("bucket")).agg(F.sum("n").alias("s"))
+    buckets = spark.range(-(-n_rows // BUCKET)).withColumnRenamed("id", "bucket").join(sums, "bucket", "left")
+    before = buckets.select("bucket", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sized.withColumn("value", F.sum("n").over(inside)).join(F.broadcast(before) if n_rows < BUCKET << 20 else before, "bucket").select((F.col("row") + 1).alias("i"), (F.col("value") + F.col("before")).alias("value"))
+    return spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("value")).unionByName(ends)
+
+
+def packed_batches(rows: DataFrame, n_batches: int, d: DType, n_cols: int) -> DataFrame:
+    """(batch_id, n, data) of (batch_id, pos, values), each batch's rows by pos as bytes; partitions hold BATCHES batches, in order."""
+    import pyarrow as pa
+
+    kind, u64 = d.numpy, d.name == "u64"
+
+    def cells(lists: list[pa.Array]) -> bytes:
+        flat = pa.concat_arrays(lists)
+        return np.ascontiguousarray(np.array([int(v) for v in flat.to_pylist()], np.uint64) if u64 else flat.to_numpy(zero_copy_only=False).astype(kind)).tobytes()
+
+    def run(batches):
+        number, n, held = None, 0, []
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([cells(held)], pa.binary())], names=["batch_id", "n", "data"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(ids)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+                if a == b:
+                    continue
+                if ids[a] != number:
+                    if held:
+                        yield done()
+                    number, n, held = int(ids[a]), 0, []
+                held.append(batch.column(1).slice(a, b - a).flatten())
+                n += int(b - a)
+        if held:
+            yield done()
+
+    parts = max(1, -(-n_batches // BATCHES))
+    dealt = rows.repartitionById(parts, F.expr(f"cast(batch_id div {BATCHES} as int)")).sortWithinPartitions("batch_id", "pos")
+    return dealt.select("batch_id", "values").mapInArrow(run, "batch_id long, n long, data binary")
+
+
 def zeros(n: int) -> list:
     return [0] * n
 
 
 def densify(frame: DataFrame, key: str, n_cols: int, d: DType, template: list, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep..., values): template rows with values put at indices, by one Arrow take per batch; any value type."""
+    """(key, keep..., values): template rows with values put at indices, by one Arrow take for CELLS cells; any value type."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -268,19 +329,22 @@ def densify(frame: DataFrame, key: str, n_cols: int, d: DType, template: list, k
 
         template = [Decimal(v) for v in template]
 
+    rows = max(1, CELLS // max(n_cols, 1))
+
     def run(batches):
         base = pa.array(template, kind)
-        for batch in batches:
-            n = batch.num_rows
-            at = np.tile(np.arange(n_cols), (n, 1))
-            indices, values = batch.column("indices"), batch.column("values")
-            sizes = np.array(indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            flat_at, flat = indices.flatten().to_numpy(zero_copy_only=False), values.flatten()
-            owner = np.repeat(np.arange(n), sizes)
-            at[owner, flat_at] = n_cols + np.arange(len(flat_at))
-            picked = pa.concat_arrays([base, flat.cast(kind)]).take(pa.array(at.ravel()))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_cols), picked)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), lists], names=[*columns, "values"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                n = batch.num_rows
+                at = np.tile(np.arange(n_cols), (n, 1))
+                indices, values = batch.column("indices"), batch.column("values")
+                sizes = np.array(indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+                flat_at, flat = indices.flatten().to_numpy(zero_copy_only=False), values.flatten()
+                at[np.repeat(np.arange(n), sizes), flat_at] = n_cols + np.arange(len(flat_at))
+                picked = pa.concat_arrays([base, flat.cast(kind)]).take(pa.array(at.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_cols), picked)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), lists], names=[*columns, "values"])
 
     return frame.select(*columns, "indices", "values").mapInArrow(run, schema)
 
@@ -298,14 +362,69 @@ def storable(array: Any) -> np.ndarray:
 def canonical_rows(coo: DataFrame, value: str = "value") -> DataFrame:
     """(row, indices, values) of (row, col, value) entries: duplicate coordinates are summed, columns ascend.
 
-    One shuffle, by row, serves both groupings; coordinates hardly repeat, so combining before it would not pay.
+    Sums combine before they are shuffled, by coordinate, so a row with very many entries is spread until it holds one
+    entry a column; then rows are gathered.
     """
     kind = coo.schema[value].dataType
-    summed = coo.repartition("row").groupBy("row", "col").agg(F.sum(value).cast(kind).alias("v"))
-    rows = summed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "v"))).alias("e"))
+    summed = coo.groupBy("row", F.col("col").cast("int").alias("c")).agg(F.sum(value).cast(kind).alias("v"))
+    rows = summed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("e"))
     return rows.select(F.col("row").cast("long").alias("row"), F.transform("e", lambda x: x["c"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values"))
 
 
+@dataclass(frozen=True)
+class EntryFrame(Matrix):
+    """A sparse matrix as entries (row, col, value) in any order; equal coordinates count as their sum.
+
+    Selections and counts work on the entries, before any grouping; to_csr() gathers them into rows.
+    """
+
+    kind = "csr"
+
+    def _columns(self, frame: DataFrame, spec: AxisSpec) -> DataFrame:
+        if spec.kind != "positions":
+            predicate = spec.predicate(F.col("col"))
+            frame = frame if predicate is None else frame.where(predicate)
+            return frame.withColumn("col", spec.place(F.col("col")).cast("int"))
+        p = spec.positions()
+        targets = np.argsort(p, kind="stable")
+        offsets = int_array(np.searchsorted(p[targets], np.arange(int(p.max()) + 2)))
+        first = F.get(offsets, F.col("col"))
+        outputs = F.slice(int_array(targets), first + 1, F.get(offsets, F.col("col") + 1) - first)
+        wanted = frame.where(spec.predicate(F.col("col"))).withColumn("__to", outputs).where(F.size("__to") > 0)
+        return wanted.withColumn("col", F.explode("__to")).drop("__to")
+
+    def entries(self) -> DataFrame:
+        """(row, col) of the entries that count, each once."""
+        return self.frame.select("row", "col").distinct()
+
+    @property
+    def nnz(self) -> int:
+        return self.entries().count()
+
+    @property
+    def index_dtype(self) -> str:
+        top = self.frame.agg(F.max("col")).first()[0]
+        return "u16" if top is None or top < 1 << 16 else "u32"
+
+    def to_csr(self) -> CsrFrame:
+        return CsrFrame(canonical_rows(self.frame), self.n_rows, self.n_cols, self.dtype)
+
+    def to_dense(self) -> DenseFrame:
+        return self.to_csr().to_dense()
+
+    def coo(self) -> DataFrame:
+        kind = self.frame.schema["value"].dataType
+        return self.frame.groupBy("row", "col").agg(F.sum("value").cast(kind).alias("value"))
+
+    def indptr(self) -> DataFrame:
+        """Running totals of entries, from counts per row alone."""
+        counted = self.entries().groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"))
+        return running_totals(counted, self.n_rows)
+
+    def info(self) -> dict:
+        return super().info() | {"nnz": self.nnz}
+
+
 def duplicate_coordinates(coo: DataFrame) -> DataFrame:
     """(row, col, n) of coordinates given more than once; writers of raw buffers reject them."""
     return coo.groupBy("row", "col").agg(F.count("*").alias("n")).where("n > 1")

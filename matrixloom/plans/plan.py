@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.errors import ResourceLimitError  # type: ignore[attr-defined]
 from ..functions.exprs import int_array, let
 from ..functions.types import check_promotion, convert
-from ..operators.matrix import Matrix, densify
+from ..operators.matrix import Matrix, checked_indices, densify
 from ..sources.container import Dataset, RowRef, register
 from ..sources.options import as_int
-from .config import PlanConfig
+from .config import IoMergeConfig, PlanConfig
 from .output import OutputSpec
 
 MAGIC, IMAGE_VERSION, MAX_IMAGE = b"MLPLAN01", 1, 2 << 30
@@ -90,9 +90,10 @@ def source_rows(matrix: Matrix, request: DataFrame, feature_map: tuple[int | Non
         return joined.select("pos", values.alias("values"))
     mapped = set(t for t in targets if t >= 0)
     template = [0 if identity or o in mapped else output.fill for o in range(output.n_cols)]
-    entries = F.arrays_zip("indices", "values")
+    checked = F.when(F.col("indices").isNotNull(), checked_indices(F.col("indices"), matrix.n_cols)).alias("indices")
+    entries = F.arrays_zip(checked, "values")
     if not identity:
-        entries = let(int_array(targets), lambda t: F.filter(F.transform(F.arrays_zip("indices", "values"), lambda e: F.struct(F.get(t, e["indices"]).alias("indices"), e["values"].alias("values"))), lambda e: e["indices"] >= 0))
+        entries = let(int_array(targets), lambda t: F.filter(F.transform(F.arrays_zip(checked, "values"), lambda e: F.struct(F.get(t, e["indices"]).alias("indices"), e["values"].alias("values"))), lambda e: e["indices"] >= 0))
     kept = joined.withColumn("__e", entries).select("pos", F.transform("__e", lambda e: e["indices"]).alias("indices"), F.transform("__e", lambda e: conv(e["values"])).alias("values"))
     return densify(kept, "pos", output.n_cols, d, template)
 
@@ -118,6 +119,7 @@ class Plan:
     is_empty = property(lambda self: self.n_rows == 0)
     bound = property(lambda self: self._sources is not None)
     cache_capacity_bytes = property(lambda self: self.template["cache_capacity_bytes"])
+    io_merge = property(lambda self: IoMergeConfig(**self.template["io_merge"]))
 
     def info(self) -> dict:
         return {"shape": self.shape, "batch_size": self.batch_size, "batch_count": self.batch_count, "prefetch_step": self.prefetch_step, "bound": self.bound, "output": self.output.as_dict()}
@@ -266,18 +268,20 @@ def compile(datasets: Dataset | Iterable[Dataset], rows: Any, *, output: OutputS
     described = [{"path": s.path, "key": s.key, "manifest": s.store.manifest(), "feature_map": None if s.feature_map is None else list(s.feature_map), "partition": s.store.meta.get("partition", {}), "kind": s.kind} for s in sources]
     template = {
         "output": output.as_dict(), "batch_size": batch_size, "prefetch_step": prefetch_step, "n_rows": len(row_ids), "sources": described,
-        "source_ids": pack(source_ids), "rows": pack(row_ids), "cache_capacity_bytes": config.cache_capacity_bytes, "output_ring_bytes": ring,
+        "source_ids": pack(source_ids), "rows": pack(row_ids), "cache_capacity_bytes": config.cache_capacity_bytes, "output_ring_bytes": ring, "io_merge": vars(config.io_merge),
     }
     return Plan(spark, sources, template)
 
 
-def planned(datasets: Dataset | Iterable[Dataset], request: DataFrame, *, output: OutputSpec | None = None, batch_size: int = 256) -> DataFrame:
-    """(pos, batch_id, values) of a request that is itself a table (pos, source_id, row) of any size.
+def planned(datasets: Dataset | Iterable[Dataset], request: DataFrame, *, output: OutputSpec | None = None, batch_size: int = 256, rank: int | None = None, world_size: int = 1) -> DataFrame:
+    """(pos, batch_id, values) of a request that is itself a table (pos, source_id, row) of any size; of one rank's batches where a rank is given.
 
     Nothing of the request comes to the driver. A row that a source does not have fails the job.
     """
     sources = [datasets] if isinstance(datasets, Dataset) else list(datasets)
     output, batch_size = infer_output(sources, output), as_int(batch_size, "batch_size", 1)
+    if rank is not None:
+        request = request.where(F.expr(f"pos div {batch_size} % {as_int(world_size, 'world_size', 1)} = {as_int(rank, 'rank', 0, world_size - 1)}"))
     sizes = int_array([s.n_rows for s in sources], "bigint")
     known = F.get(sizes, F.col("source_id").cast("int"))
     wrong = F.raise_error(F.concat_ws(" ", F.lit("[corrupt] no row"), F.col("row").cast("string"), F.lit("in source"), F.col("source_id").cast("string"))).cast("long")

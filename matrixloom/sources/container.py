@@ -1,26 +1,33 @@
 """Annotated containers: matrices by key, with tables of observations and variables.
 
-Keys: X, layers/<name>, raw/X, obsm/<name>, obsp/<name>. obs and var are tables (pos, name, ...); uns is JSON.
-Arrays of more dimensions are stored with the cells first and the rest flattened.
+Keys: X, layers/<name>, raw/X, obsm/<name>, obsp/<name>. obs and var are tables (pos, name, ...), as may be parts of
+obsm, varm and varp; uns is JSON. Arrays of more dimensions are stored with the cells first and the rest flattened.
+
+A container is a folder of versions ``ver-<id>``; the marker with the largest number names the current one (see fs).
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.errors import InvalidMetaError, UnsupportedError  # type: ignore[attr-defined]
+from ..functions.types import dtype
+from ..operators import names as name_tables
 from ..operators.matrix import Matrix
 from ..operators.names import as_str_tuple, build_feature_map, locate_names
 from .fs import Files
 from .options import ReadLimits
-from .store import CURRENT, Store, open_store, write
+from .store import Store, open_store, write
+from .zipio import container_folder, is_archive
 
+ABOUT, FORMAT, VERSION = "_container.json", "matrixloom-container", 1
 SLOTS = ("X", "layers", "raw", "obsm", "obsp", "obs", "var", "uns", "varm", "varp")
 
 
@@ -34,24 +41,40 @@ def normalize_key(key: str) -> str:
     return "/".join(parts)
 
 
-def list_keys(spark: SparkSession, path: str) -> list[str]:
-    """Keys of all matrices, sorted; [""] for a bare store."""
-    files = Files(spark, path)
+def resolve(spark: SparkSession, path: str) -> Files:
+    """The folder of a store, or of a container's current version; an archive's contents where the path is a file."""
+    files = Files(spark, str(path))
     if not files.exists():
         raise FileNotFoundError(path)
-    if files.exists(CURRENT):
+    if is_archive(spark, str(path)):
+        files = Files(spark, container_folder(spark, str(path)))
+        inside = [n for n, folder, _ in files.list() if folder]
+        if len(inside) == 1 and not files.exists(ABOUT) and files.inside(inside[0]).exists(ABOUT):
+            files = files.inside(inside[0])
+    current = files.current()
+    return files.inside(current) if current and current.startswith("ver-") else files
+
+
+def list_keys(spark: SparkSession, path: str) -> list[str]:
+    """Keys of all matrices, sorted; [""] for a bare store."""
+    files = resolve(spark, path)
+    if files.current():
         return [""]
-    out = [k for k in ("X", "raw/X") if files.exists(f"{k}/{CURRENT}")]
+    out = [k for k in ("X", "raw/X") if files.inside(k).current()]
     for slot in ("layers", "obsm", "obsp"):
-        out += [f"{slot}/{n}" for n, folder, _ in files.list(slot) if folder and files.exists(f"{slot}/{n}/{CURRENT}")]
+        out += [f"{slot}/{n}" for n, folder, _ in files.list(slot) if folder and files.inside(f"{slot}/{n}").current()]
     return sorted(out)
 
 
-def _names(spark: SparkSession, path: str, table: str) -> tuple[str, ...] | None:
-    files = Files(spark, path)
-    if not files.exists(table):
-        return None
-    return tuple(r.name for r in spark.read.parquet(files.at(table)).select("pos", "name").orderBy("pos").collect())
+def resolve_matrix_location(spark: SparkSession, path: str, key: str = "X") -> str:
+    """Folder of a container's matrix, or of a bare store, for open_store."""
+    files = resolve(spark, path)
+    if files.current():
+        return files.root
+    key = normalize_key(key)
+    if not files.inside(key).current():
+        raise FileNotFoundError(f"{path} has no matrix {key!r}; there are {list_keys(spark, path)}")
+    return files.at(key)
 
 
 def feature_table(key: str) -> str | None:
@@ -59,13 +82,24 @@ def feature_table(key: str) -> str | None:
     return "var" if key == "X" or key.startswith("layers/") else "raw/var" if key == "raw/X" else None
 
 
+def name_table(spark: SparkSession, path: str, table: str | None) -> DataFrame | None:
+    """(pos, name) of a container's table; only these columns are read."""
+    files = resolve(spark, path)
+    return spark.read.parquet(files.at(table)).select("pos", "name") if table and files.exists(table) else None
+
+
+def _collected(table: DataFrame | None) -> tuple[str, ...] | None:
+    return None if table is None else tuple(r.name for r in table.orderBy("pos").collect())
+
+
 def read_feature_names(spark: SparkSession, path: str, key: str = "X") -> tuple[str, ...] | None:
-    table = feature_table(normalize_key(key))
-    return table and _names(spark, path, table)
+    """Names of a matrix's columns, on the driver."""
+    return _collected(name_table(spark, path, feature_table(normalize_key(key))))
 
 
 def read_obs_names(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    return _names(spark, path, "obs")
+    """Names of the rows, on the driver; name_table(spark, path, "obs") leaves them in Spark."""
+    return _collected(name_table(spark, path, "obs"))
 
 
 def normalize_feature_map(feature_map: Any, n_cols: int) -> tuple[int | None, ...] | None:
@@ -91,14 +125,18 @@ class RowRef:
 
 @dataclass(frozen=True)
 class Dataset:
-    """One matrix as a source for plans. Pickles by path and opens again where it is used."""
+    """One matrix as a source for plans. Pickles by path and opens again where it is used.
+
+    Names of columns are on the driver, as feature maps are. Names of rows stay a table unless they were given.
+    """
 
     path: str
     key: str
     store: Store = field(compare=False, repr=False)
     feature_map: tuple[int | None, ...] | None = None
     feature_names: tuple[str, ...] | None = None
-    obs_names: tuple[str, ...] | None = None
+    given_names: tuple[str, ...] | None = None
+    named: bool = False
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "store"}
@@ -108,7 +146,20 @@ class Dataset:
         spark = SparkSession.getActiveSession()
         if spark is None:
             raise ValueError("no active session to open the dataset with")
-        self.__dict__["store"] = open_store(spark, f"{self.path}/{self.key}".rstrip("/"))
+        self.__dict__["store"] = open_store(spark, resolve_matrix_location(spark, self.path, self.key or "X"))
+
+    @property
+    def observations(self) -> DataFrame | None:
+        """(pos, name) of the rows, or None where they have no names."""
+        spark = self.matrix.spark
+        if self.given_names is not None:
+            return spark.createDataFrame(list(enumerate(self.given_names)), "pos long, name string")
+        return name_table(spark, self.path, "obs") if self.named else None
+
+    @property
+    def obs_names(self) -> tuple[str, ...] | None:
+        """The rows' names on the driver."""
+        return self.given_names if self.given_names is not None else _collected(self.observations)
 
     @property
     def matrix(self) -> Matrix:
@@ -132,10 +183,23 @@ class Dataset:
             raise ValueError("this dataset has no feature names")
         return self.with_feature_map(build_feature_map(self.feature_names, target_names))
 
-    def rows_for(self, names: Iterable[str], *, missing: str = "error") -> np.ndarray:
-        if self.obs_names is None:
+    def rows_for(self, names: Iterable[str] | DataFrame, *, missing: str = "error") -> np.ndarray | DataFrame:
+        """Rows of names, in their order: an array, or a table (pos, row) for a table (pos, name)."""
+        if self.given_names is not None and not isinstance(names, DataFrame):
+            return locate_names(self.given_names, names, missing=missing)
+        known = self.observations
+        if known is None:
             raise ValueError("this dataset has no observation names")
-        return locate_names(self.obs_names, names, missing=missing)
+        if isinstance(names, DataFrame):
+            return name_tables.locate(known, names, missing)
+        if missing not in ("error", "drop"):
+            raise ValueError("missing must be 'error' or 'drop'")
+        asked = as_str_tuple(names, "names")
+        table = self.matrix.spark.createDataFrame(list(enumerate(asked)), "pos long, name string")
+        found = {r.pos: r.row for r in name_tables.locate(known, table, "drop").collect()}
+        if missing == "error" and len(found) < len(asked):
+            raise ValueError(f"name {next(n for i, n in enumerate(asked) if i not in found)!r} is not present")
+        return np.array([found[i] for i in sorted(found)], np.uint64)
 
     def info(self) -> dict:
         return {"path": self.path, "key": self.key, "shape": self.shape, "dtype": self.dtype.name, "kind": self.kind, "mapped": self.feature_map is not None}
@@ -154,19 +218,22 @@ class Dataset:
         self.close()
 
 
-def register(spark: SparkSession, source: str, *, key: str = "X", feature_map: Any = None, feature_names: Any = "auto", obs_names: Any = "auto", limits: ReadLimits | None = None) -> Dataset:
-    """One matrix of a container, or a bare store, as a dataset."""
+def register(spark: SparkSession, source: str, *, key: str = "X", feature_map: Any = None, feature_names: Any = "auto", obs_names: Any = "auto", limits: ReadLimits | None = None, **overrides: Any) -> Dataset:
+    """One matrix of a container, a bare store, or one in an archive of either, as a dataset."""
     source = str(source).rstrip("/")
-    bare = Files(spark, source).exists(CURRENT)
+    bare = bool(resolve(spark, source).current())
     key = "" if bare else normalize_key(key)
-    store = open_store(spark, f"{source}/{key}".rstrip("/"), limits=limits)
-    auto = lambda given, read: (None if bare else read()) if isinstance(given, str) and given == "auto" else given if given is None else as_str_tuple(given)
-    features = auto(feature_names, lambda: read_feature_names(spark, source, key))
-    observed = auto(obs_names, lambda: read_obs_names(spark, source))
+    store = open_store(spark, resolve_matrix_location(spark, source, key or "X"), limits=limits, **overrides)
+    auto = lambda given: isinstance(given, str) and given == "auto"
+    read = None if bare else read_feature_names(spark, source, key) if auto(feature_names) else None
+    features = read if auto(feature_names) else None if feature_names is None else as_str_tuple(feature_names)
+    observed = None if auto(obs_names) or obs_names is None else as_str_tuple(obs_names)
+    table = name_table(spark, source, "obs") if auto(obs_names) and not bare else None
     n_rows, n_cols = store.meta["shape"]
-    if features is not None and len(features) != n_cols or observed is not None and len(observed) != n_rows:
+    n_names = len(observed) if observed is not None else n_rows if table is None else table.count()
+    if features is not None and len(features) != n_cols or n_names != n_rows:
         raise ValueError("names do not match the matrix's shape")
-    return Dataset(source, key, store, normalize_feature_map(feature_map, n_cols), features, observed)
+    return Dataset(source, key, store, normalize_feature_map(feature_map, n_cols), features, observed, table is not None)
 
 
 def cell_axis(shape: tuple[int, ...], n_cells: int) -> int:
@@ -192,6 +259,17 @@ def restore_cells(flat: np.ndarray, how: Mapping[str, Any]) -> np.ndarray:
     return np.moveaxis(flat.reshape(shape[-1], *shape[:-1]), 0, -1)
 
 
+def unflatten(matrix: Matrix, how: Mapping[str, Any]) -> DataFrame:
+    """(row, axis0, axis1, ..., value) of the cells of a flattened array: a row's column as places on the other axes."""
+    shape = how["shape"][1:] if how["cell_axis"] == 0 else how["shape"][:-1]
+    out, size = matrix.coo(), int(np.prod(shape))
+    places = []
+    for i, n in enumerate(shape):
+        size //= max(n, 1)
+        places.append(F.expr(f"cast(col div {max(size, 1)} % {max(n, 1)} as int)").alias(f"axis{i}"))
+    return out.select("row", *places, "value")
+
+
 def _slots(include: Iterable[str] | None, exclude: Iterable[str] | None) -> Callable[[str], bool]:
     for given in (include, exclude):
         if given is not None and (unknown := {s.split("/")[0] for s in given} - set(SLOTS)):
@@ -200,48 +278,49 @@ def _slots(include: Iterable[str] | None, exclude: Iterable[str] | None) -> Call
     return lambda key: key in ("obs", "var") or (include is None or inside(key, include)) and (exclude is None or not any(key == s or key.startswith(f"{s}/") for s in exclude))
 
 
-def write_container(spark: SparkSession, path: str, *, obs: DataFrame, var: DataFrame, matrices: Mapping[str, Any], raw_var: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None, uns: Any = None, overwrite: bool = False, progress: Callable[[str, int, int], None] | None = None, **knobs: Any) -> list[str]:
-    """Writes all parts beside the target and renames them into place; nothing is there until all is.
-
-    obs and var are (pos, name, ...). matrices maps keys to matrices or arrays; a key's array of more than two
-    dimensions is flattened with its cells first.
-    """
-    keys = {normalize_key(k): m for k, m in matrices.items()}
-    n_cells = obs.count()
+def _checked_parts(obs: DataFrame, var: DataFrame, matrices: Mapping[str, Any], raw_var: DataFrame | None, tables: Mapping[str, DataFrame]) -> tuple[dict, dict, dict, int]:
+    """(tables, matrices, shapes of flattened arrays, cells), all checked before anything is written."""
+    frames = {"obs": obs, "var": var, **({"raw/var": raw_var} if raw_var is not None else {}), **{normalize_key(k): t for k, t in tables.items()}}
+    for k, frame in frames.items():
+        if "pos" not in frame.columns or k in ("obs", "var", "raw/var") and "name" not in frame.columns:
+            raise ValueError(f"{k} needs columns pos and name")
+        if k.split("/")[0] not in SLOTS:
+            raise ValueError(f"{k!r} is no place for a table")
+    n_cells, n_features = obs.count(), var.count()
     prepared, shapes = {}, {}
-    for k, m in keys.items():
+    for k, m in {normalize_key(k): m for k, m in matrices.items()}.items():
         if not (k in ("X", "raw/X") or k.split("/")[0] in ("layers", "obsm", "obsp") and k.count("/") == 1):
             raise ValueError(f"{k!r} is no place for a matrix")
+        dtype(m.dtype)
         if isinstance(m, np.ndarray) and m.ndim != 2:
             m, shapes[k] = flatten_cells(m, n_cells)
-        if tuple(m.shape)[0] != n_cells:
-            raise ValueError(f"{k} has {m.shape[0]} rows for {n_cells} observations")
+        wide = n_features if feature_table(k) == "var" else n_cells if k.startswith("obsp/") else m.shape[1]
+        if tuple(m.shape) != (n_cells, wide):
+            raise ValueError(f"{k} has shape {tuple(m.shape)} for {n_cells} observations and {n_features} variables")
         prepared[k] = m
-    files = Files(spark, str(path).rstrip("/"))
-    if files.exists() and not overwrite:
-        raise FileExistsError(path)
-    parent, _, name = files.root.rpartition("/")
-    beside = Files(spark, f"{parent}/.{name}-{uuid.uuid4().hex}")
-    parts = {"obs": obs, "var": var, **({"raw/var": raw_var} if raw_var is not None else {}), **(tables or {})}
-    total = len(parts) + len(prepared)
-    try:
-        for i, (k, frame) in enumerate(parts.items()):
-            if "pos" not in frame.columns or "name" not in frame.columns:
-                raise ValueError(f"{k} needs columns pos and name")
-            frame.write.parquet(beside.at(k))
-            if progress:
-                progress(k, i, total)
-        for i, (k, m) in enumerate(prepared.items(), len(parts)):
-            write(spark, m, beside.at(k), **knobs)
+    return frames, prepared, shapes, n_cells
+
+
+def write_container(spark: SparkSession, path: str, *, obs: DataFrame, var: DataFrame, matrices: Mapping[str, Any], raw_var: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None, uns: Any = None, overwrite: bool = False, progress: Callable[[str, int, int], None] | None = None, **knobs: Any) -> list[str]:
+    """Writes all parts as a new version, which counts when it is whole; older versions serve their readers on.
+
+    obs and var are (pos, name, ...). matrices maps keys to matrices or arrays; a key's array of more than two
+    dimensions is flattened with its cells first. tables maps keys such as obsm/<name> to tables (pos, ...).
+    """
+    files = Files(spark, str(path))
+    frames, prepared, shapes, n_cells = _checked_parts(obs, var, matrices, raw_var, tables or {})
+    about = json.dumps({"format": FORMAT, "version": VERSION, "cells": n_cells, "uns": uns, "shapes": shapes}, sort_keys=True)
+    total = len(frames) + len(prepared)
+    with files.new("ver", overwrite) as version:
+        inside = files.inside(version)
+        for i, (k, part) in enumerate([*frames.items(), *prepared.items()], 1):
+            if k in frames:
+                part.write.parquet(inside.at(k))
+            else:
+                write(spark, part, inside.at(k), **knobs).close()
             if progress:
                 progress(k, i, total)
-        beside.write("uns.json", json.dumps({"uns": uns, "shapes": shapes}))
-        if files.exists():
-            files.delete()
-        Files(spark, parent).rename(beside.root.rpartition("/")[2], name)
-    except BaseException:
-        beside.delete()
-        raise
+        inside.write(ABOUT, about)
     return sorted(prepared)
 
 
@@ -262,14 +341,30 @@ class Container:
 
 
 def read_container(spark: SparkSession, path: str, *, include: Iterable[str] | None = None, exclude: Iterable[str] | None = None, limits: ReadLimits | None = None) -> Container:
-    """The chosen slots; obs and var always."""
-    chosen, files = _slots(include, exclude), Files(spark, str(path).rstrip("/"))
+    """The chosen slots; obs and var always. Layout and shapes are checked, rows are read when they are used."""
+    chosen, files = _slots(include, exclude), resolve(spark, path)
     if not files.exists("obs") or not files.exists("var"):
         raise FileNotFoundError(f"{path} has no obs and var")
+    try:
+        about = json.loads(files.read(ABOUT))
+        cells, shapes, uns, known = about["cells"], about["shapes"], about["uns"], (about["format"], about["version"])
+    except (FileNotFoundError, ValueError, KeyError, TypeError) as e:
+        raise InvalidMetaError(f"{path}: {e}") from e
+    if known != (FORMAT, VERSION):
+        raise UnsupportedError(f"{path} has the layout {known}, not {(FORMAT, VERSION)}")
     read = lambda k: spark.read.parquet(files.at(k))
     matrices = {k: open_store(spark, files.at(k), limits=limits) for k in list_keys(spark, path) if chosen(k)}
+    for k, m in matrices.items():
+        if m.meta["shape"][0] != cells or k in shapes and int(np.prod(shapes[k]["shape"])) != int(np.prod(m.meta["shape"])):
+            raise InvalidMetaError(f"{path}: {k} has shape {m.meta['shape']} for {cells} observations")
     tables = {k: read(k) for k in ("raw/var",) if files.exists(k) and chosen("raw")}
-    for slot in ("varm", "varp"):
-        tables |= {f"{slot}/{n}": read(f"{slot}/{n}") for n, folder, _ in files.list(slot) if folder and chosen(f"{slot}/{n}")}
-    rest = json.loads(files.read("uns.json")) if files.exists("uns.json") else {"uns": None, "shapes": {}}
-    return Container(read("obs"), read("var"), matrices, tables, rest["uns"] if chosen("uns") else None, rest["shapes"])
+    for slot in ("obsm", "varm", "varp"):
+        tables |= {f"{slot}/{n}": read(f"{slot}/{n}") for n, folder, _ in files.list(slot) if folder and chosen(f"{slot}/{n}") and not files.inside(f"{slot}/{n}").current()}
+    return Container(read("obs"), read("var"), matrices, tables, uns if chosen("uns") else None, shapes)
+
+
+def pack_container(spark: SparkSession, path: str, archive: str, **how: Any) -> list[str]:
+    """A container's or store's current contents as an archive on the driver's disk."""
+    from .zipio import pack
+
+    return pack(path, archive, **how)

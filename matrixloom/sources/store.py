@@ -1,15 +1,14 @@
 """Matrix stores: Parquet files of rows sorted by row, and a description of them.
 
-A store is a folder: ``_CURRENT`` names the generation in use, ``gen-*/_meta.json`` describes it and
-``gen-*/data`` holds its rows. Writers add a generation and then move the pointer, so readers that
-opened the store keep their snapshot, and a failed write changes nothing.
+A store is a folder: the marker ``_CURRENT-<n>-gen-<id>`` with the largest n names the generation in use,
+``gen-<id>/_meta.json`` describes it and ``gen-<id>/data`` holds its rows. Writers add a generation and then a
+marker, so a reader always finds a whole store and keeps its snapshot, and a failed write changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 from typing import Any
 
 import numpy as np
@@ -19,11 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.errors import InvalidMetaError, ResourceLimitError, warn_slow  # type: ignore[attr-defined]
 from ..functions.types import dtype
 from ..operators.matrix import CsrFrame, DenseFrame, Matrix, csr_from_arrays, csr_schema, dense_from_numpy, dense_schema, index_faults
+from ..operators.partition import bytes_budget
 from .fs import Files
-from .options import DEFAULT_READ_LIMITS, DEFAULT_WRITE_OPTIONS, ReadLimits, WriteOptions
+from .options import DEFAULT_READ_LIMITS, DEFAULT_WRITE_OPTIONS, Codec, ReadLimits, WriteOptions
 
-FORMAT, VERSION = "matrixloom", 1
-CURRENT, META = "_CURRENT", "_meta.json"
+FORMAT, VERSION = "matrixloom", 2
+META = "_meta.json"
+#: Chunks whose first rows the driver keeps to cut files at exact budgets (8 bytes each); more are cut at about equal rows.
+EXACT_CHUNKS = 1_000_000
 
 
 class Store:
@@ -48,8 +50,8 @@ class Store:
 
     def to_numpy(self) -> np.ndarray:
         n, m = self.matrix.shape
-        if n * m * self.matrix.dtype.itemsize > self.limits.max_decoded_bytes:
-            raise ResourceLimitError(f"{n} x {m} values exceed max_decoded_bytes; select less or read batches")
+        if n * m * self.matrix.dtype.itemsize > self.limits.max_decoded_size:
+            raise ResourceLimitError(f"{n} x {m} values exceed max_decoded_size; select less or read batches")
         return self.matrix.to_numpy()
 
     toarray = todense = to_numpy
@@ -64,6 +66,14 @@ class Store:
     def path(self) -> str:
         return self.files.root
 
+    @property
+    def codec(self) -> Codec:
+        return Codec(**self.meta["codec"])
+
+    @property
+    def indptr_codec(self) -> Codec | None:
+        return Codec(**self.meta["indptr_codec"]) if "indptr_codec" in self.meta else None
+
     def copy(self) -> Store:
         return Store(self.files, self.generation, self.meta, self.matrix, self.limits)
 
@@ -85,40 +95,66 @@ class Store:
         return hashlib.sha256(json.dumps([self.meta, [(n, s) for n, _, s in listed if n.startswith("part-")]], sort_keys=True).encode()).hexdigest()
 
 
-def _write(matrix: Matrix, path: str, options: WriteOptions, overwrite: bool, checked: bool = False) -> Store:
+def _by_budget(frame, costs, budget: int):
+    """frame dealt so that a file holds the whole rows of one greedy group of costs; None if there are too many groups."""
+    firsts = bytes_budget(costs, budget).groupBy("grp").agg(F.min("row").alias("row"))
+    got = sorted(r.row for r in firsts.select("row").limit(EXACT_CHUNKS + 1).collect())
+    if len(got) > EXACT_CHUNKS:
+        return None, None
+    bounds = np.array(got[1:], np.int64)
+
+    @F.pandas_udf("int")
+    def group(row):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(bounds, row.to_numpy(), side="right").astype(np.int32))
+
+    return frame.repartitionById(max(1, len(got)), group("row")).sortWithinPartitions("row"), max(1, len(got))
+
+
+def _write(matrix: Matrix, path: str, options: WriteOptions, overwrite: bool) -> Store:
     files = Files(matrix.spark, path)
-    if files.list() and not files.exists(CURRENT):
-        raise FileExistsError(f"{path} exists and is not a store")
-    if files.exists(CURRENT) and not overwrite:
-        raise FileExistsError(path)
-    d, generation = matrix.dtype, f"gen-{uuid.uuid4().hex}"
-    frame = matrix.frame
-    chunk_rows, block_rows = options.dense_rows(matrix.n_cols, d.itemsize)
-    if matrix.kind == "csr":
-        sized = frame.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("nnz"), F.max(F.array_max("indices")).alias("top"), F.sum(index_faults(F.col("indices"), matrix.n_cols)).alias("faults"))
-        got = sized.first()
-        if got.faults:
-            raise ValueError("column indices must ascend strictly within bounds")
-        nnz, index_dtype = int(got.nnz), "u16" if got.top is None or got.top < 1 << 16 else "u32"
-        cost = max(int(index_dtype[1:]) // 8, d.itemsize)
-        parts = nnz * cost // (options.chunk_budget or 1) + 1 if options.chunk_policy == "budget" else -(-matrix.n_rows // options.chunk_cells)
-        extra = {"nnz": nnz, "index_dtype": index_dtype}
-    else:
-        parts, extra = -(-matrix.n_rows // chunk_rows), {}
-    # rows are dealt into files by range and sorted, so a range of rows touches few files and row groups
-    ordered = frame.repartitionByRange(max(1, int(parts)), "row").sortWithinPartitions("row") if parts > 1 else frame.coalesce(1).sortWithinPartitions("row")
-    codec = options.resolved_codec()
-    writer = ordered.write.option("compression", codec.parquet)
-    if options.block_policy == "budget" and options.block_budget:
-        writer = writer.option("parquet.page.size", max(options.block_budget, 4096))
-    if matrix.kind == "dense" and options.chunk_policy == "cells":
-        writer = writer.option("maxRecordsPerFile", chunk_rows)
-    writer.parquet(files.at(f"{generation}/data"))
-    meta = {"format": FORMAT, "version": VERSION, "kind": matrix.kind, "shape": list(matrix.shape), "dtype": d.name, **extra, "codec": {"algorithm": codec.algorithm, "backend": codec.backend, "level": codec.level, "shuffle": codec.shuffle}}
-    meta["partition"] = {"chunk_rows": chunk_rows, "block_rows": block_rows} if matrix.kind == "dense" else {"chunks": int(parts)}
-    files.write(f"{generation}/{META}", json.dumps(meta, sort_keys=True))
-    files.write(CURRENT, generation)
-    return open_store(matrix.spark, path)
+    d, frame, codec = matrix.dtype, matrix.frame, options.resolved_codec()
+    if idle := codec.unused():
+        warn_slow(f"Parquet's {codec.backend} knows no {' and '.join(idle)}; kept in the description only")
+    with files.new("gen", overwrite) as generation:
+        chunk_rows, block_rows = options.dense_rows(matrix.n_cols, d.itemsize)
+        writer_options = codec.parquet_options()
+        if matrix.kind == "csr":
+            sized = frame.agg(F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("nnz"), F.max(F.array_max("indices")).alias("top"), F.sum(index_faults(F.col("indices"), matrix.n_cols)).alias("faults"))
+            got = sized.first()
+            if got.faults:
+                raise ValueError("column indices must ascend strictly within bounds")
+            nnz, index_dtype = int(got.nnz), "u16" if got.top is None or got.top < 1 << 16 else "u32"
+            cost = max(int(index_dtype[1:]) // 8, d.itemsize)
+            of_row = nnz * cost / max(matrix.n_rows, 1)
+            block_rows = options.block_cells or max(1, int((options.block_budget or 1) // max(of_row, 1)))
+            ordered = None
+            if options.chunk_policy == "cells":
+                parts = -(-matrix.n_rows // options.chunk_cells)
+                ordered = frame.repartitionById(max(1, parts), F.expr(f"cast(row div {options.chunk_cells} as int)")).sortWithinPartitions("row") if parts <= EXACT_CHUNKS else None
+            elif nnz * cost > (options.chunk_budget or 1):
+                ordered, parts = _by_budget(frame, frame.select("row", (F.size("indices") * cost).alias("cost")), options.chunk_budget or 1)
+            else:
+                parts = 1
+            parts = parts or int(nnz * cost // (options.chunk_budget or 1)) + 1
+            extra, partition = {"nnz": nnz, "index_dtype": index_dtype}, {"chunks": int(parts), "block_rows": block_rows}
+        else:
+            parts, extra, ordered, partition = -(-matrix.n_rows // chunk_rows), {}, None, {"chunk_rows": chunk_rows, "block_rows": block_rows}
+            if 1 < parts <= EXACT_CHUNKS:
+                ordered = frame.repartitionById(int(parts), F.expr(f"cast(row div {chunk_rows} as int)")).sortWithinPartitions("row")
+        if ordered is None:  # by ranges of about equal rows, so that a range of rows touches few files
+            ordered = frame.repartitionByRange(int(parts), "row").sortWithinPartitions("row") if parts > 1 else frame.coalesce(1).sortWithinPartitions("row")
+        if options.block_policy == "cells":
+            writer_options["parquet.block.row.count.limit"] = str(options.block_cells)
+        elif options.block_budget:
+            writer_options["parquet.page.size"] = str(max(options.block_budget, 4096))
+        ordered.write.options(**writer_options).parquet(files.at(f"{generation}/data"))
+        meta = {"format": FORMAT, "version": VERSION, "kind": matrix.kind, "shape": list(matrix.shape), "dtype": d.name, **extra, "codec": vars(codec), "partition": partition}
+        if matrix.kind == "csr" and options.indptr_codec:
+            meta["indptr_codec"] = vars(options.indptr_codec)
+        files.write(f"{generation}/{META}", json.dumps(meta, sort_keys=True))
+    return open_store(matrix.spark, path, generation=generation)
 
 
 def write_dense(spark: SparkSession, array: Any, path: str, *, options: WriteOptions | None = None, overwrite: bool = False, indptr_codec: Any = None, **knobs: Any) -> Store:
@@ -148,35 +184,51 @@ def write(spark: SparkSession, matrix: Any, path: str, **knobs: Any) -> Store:
 
 def read_meta(files: Files, generation: str, limits: ReadLimits) -> dict:
     name = f"{generation}/{META}"
-    if files.size(name) > limits.max_meta_bytes:
-        raise ResourceLimitError(f"the description of {files.root} is larger than {limits.max_meta_bytes} bytes")
+    if files.size(name) > limits.max_metadata_size:
+        raise ResourceLimitError(f"the description of {files.root} is larger than {limits.max_metadata_size} bytes")
     try:
         meta = json.loads(files.read(name))
         shape = meta["shape"]
         good = meta["format"] == FORMAT and meta["version"] == VERSION and meta["kind"] in ("dense", "csr") and len(shape) == 2 and all(isinstance(x, int) and x >= 0 for x in shape)
         dtype(meta["dtype"])
+        Codec(**meta["codec"])
+        blocks = -(-shape[0] // meta["partition"]["block_rows"])
         good = good and (meta["kind"] == "dense" or isinstance(meta["nnz"], int) and meta["index_dtype"] in ("u16", "u32") and (shape[1] or not meta["nnz"]))
     except (ValueError, KeyError, TypeError) as e:
         raise InvalidMetaError(f"{files.root}: {e}") from e
     if not good:
         raise InvalidMetaError(f"{files.root}: not a store of this format")
+    if blocks > limits.max_block_count:
+        raise ResourceLimitError(f"{files.root} declares {blocks} blocks; max_block_count is {limits.max_block_count}")
     return meta
 
 
-def open_store(spark: SparkSession, path: str, *, limits: ReadLimits | None = None, generation: str | None = None) -> Store:
-    """A store by its folder, pinned to its current generation."""
-    limits = limits or DEFAULT_READ_LIMITS
+def open_store(spark: SparkSession, path: str, *, zip_prefix: str | None = None, limits: ReadLimits | None = None, generation: str | None = None, **overrides: Any) -> Store:
+    """A store by its folder or its place in a ZIP archive, pinned to its current generation.
+
+    A folder or archive with one store inside opens that one; with several they are named in the error. Keywords
+    named as limits replace those of `limits`.
+    """
+    from .zipio import is_archive, unpacked
+
+    limits = (limits or DEFAULT_READ_LIMITS).with_overrides(**overrides)
+    if is_archive(spark, path):
+        return open_store(spark, unpacked(spark, path, zip_prefix), limits=limits)
+    if zip_prefix is not None:
+        raise ValueError(f"{path} is no archive, so it has no prefixes")
     files = Files(spark, path)
+    generation = generation or files.current()
     if generation is None:
-        if not files.exists(CURRENT):
-            inside = [n for n, folder, _ in files.list() if folder and files.exists(f"{n}/{CURRENT}")]
-            if len(inside) == 1:
-                return open_store(spark, files.at(inside[0]), limits=limits)
-            if inside:
-                raise ValueError(f"{path} holds several stores: {inside}")
-            raise FileNotFoundError(path)
-        generation = files.read(CURRENT).strip()
+        inside = [n for n, folder, _ in files.list() if folder and files.inside(n).current()]
+        if len(inside) == 1:
+            return open_store(spark, files.at(inside[0]), limits=limits)
+        if inside:
+            raise ValueError(f"{path} holds several stores: {inside}")
+        raise FileNotFoundError(path)
     meta = read_meta(files, generation, limits)
+    largest = max((size for _, _, size in files.list(f"{generation}/data")), default=0)
+    if largest > limits.max_encoded_size:
+        raise ResourceLimitError(f"a file of {path} has {largest} bytes; max_encoded_size is {limits.max_encoded_size}")
     d, (n_rows, n_cols) = dtype(meta["dtype"]), meta["shape"]
     schema = dense_schema(d) if meta["kind"] == "dense" else csr_schema(d)
     frame = spark.read.schema(schema).parquet(files.at(f"{generation}/data"))
@@ -201,10 +253,7 @@ open_dense, open_csr = _open_kind("dense"), _open_kind("csr")
 
 def expire(store: Store) -> list[str]:
     """Deletes all generations but the current one; readers of old ones lose them."""
-    current = store.files.read(CURRENT).strip()
-    old = [n for n, folder, _ in store.files.list() if folder and n.startswith("gen-") and n != current]
-    for n in old:
-        store.files.delete(n)
+    old = store.files.expire()
     if old:
         warn_slow(f"{len(old)} generations were deleted; sessions pinned to them fail")
     return old

@@ -11,35 +11,22 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import CancelledError, SessionError, from_spark  # type: ignore[attr-defined]
+from ..operators.matrix import packed_batches
 from ..plans.config import SessionConfig
 from ..plans.stats import RuntimeStats
 
-#: Batches of one partition, so that few are in flight at once.
-BATCHES = 16
-
-
-def _pack(dtype: np.dtype, n_cols: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        flat = table["values"].combine_chunks().flatten()
-        flat = np.array([int(v) for v in flat.to_pylist()], np.uint64) if dtype == np.uint64 else flat.to_numpy(zero_copy_only=False)
-        data = np.ascontiguousarray(flat.astype(dtype))
-        return pa.table({"batch_id": pa.array([table["batch_id"][0].as_py()], pa.int64()), "n": pa.array([table.num_rows], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
-
-    return run
-
-
 def packed(plan: Any, rank: int | None = None, world_size: int = 1) -> DataFrame:
-    """(batch_id, n, data) in batch order."""
+    """(batch_id, n, data) in batch order; one shuffle deals rows to their batches."""
     rows = plan.frame(rank, world_size)
-    parts = max(1, -(-plan.batch_count // (BATCHES * world_size)))
-    batches = rows.groupBy("batch_id").applyInArrow(_pack(plan.dtype, plan.n_cols), "batch_id long, n long, data binary")
-    return batches.repartitionByRange(parts, "batch_id").sortWithinPartitions("batch_id")
+    if rank is None:
+        return packed_batches(rows, plan.batch_count, plan.output.dtype, plan.n_cols)
+    turns = rows.withColumn("batch_id", F.expr(f"batch_id div {world_size}"))
+    out = packed_batches(turns, -(-plan.batch_count // world_size), plan.output.dtype, plan.n_cols)
+    return out.withColumn("batch_id", F.col("batch_id") * world_size + rank)
 
 
 class Session:

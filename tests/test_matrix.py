@@ -145,3 +145,62 @@ def test_tools_slice():
         tools.slice(np.arange(3))
     with pytest.raises(ValueError):
         tools.slice(a, num_workers=0)
+
+
+def test_budget_groups_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(partition, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(partition, "SPAN", 3)
+    rng = np.random.default_rng(5)
+    for budget in (1, 9, 40, 1000):
+        costs = rng.choice([0, 0, 1, 2, 3, 8, 20, 60], 150).tolist()
+        rows = spark.createDataFrame(list(enumerate(costs)), "row long, cost long")
+        got = [r.grp for r in partition.bytes_budget(rows, budget).orderBy("row").collect()]
+        assert got == [g for g, (a, b) in enumerate(partition.budget_groups(costs, budget)) for _ in range(a, b)], budget
+
+
+def test_exits_compose():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        costs = rng.choice([0, 0, 1, 2, 3, 5, 8, 20], rng.integers(1, 40))
+        budget = int(rng.integers(1, 15))
+        cuts = np.sort(rng.integers(0, len(costs), 3))
+        runs = [partition.Exits.of(c, budget) for c in np.split(costs, cuts) if len(c)]
+        whole = partition.Exits.of(costs, budget)
+        left = runs[0]
+        for e in runs[1:]:
+            left = left.then(e)
+        right = runs[-1]
+        for e in runs[-2::-1]:
+            right = e.then(right)
+        for used in range(budget + 2):
+            want = [int(x[0]) for x in whole.enter(np.array([used]))]
+            assert all([int(x[0]) for x in e.enter(np.array([used]))] == want for e in (left, right))
+
+
+def test_entries_equal_rows(spark):
+    rng = np.random.default_rng(2)
+    given = list(zip(rng.integers(0, 8, 60).tolist(), rng.integers(0, 9, 60).tolist(), rng.integers(1, 9, 60).astype(float).tolist()))
+    a = np.zeros((8, 9))
+    for r, c, v in given:
+        a[r, c] += v
+    e = matrix.EntryFrame(spark.createDataFrame(given, "row long, col int, value double"), 8, 9, matrix.dtype("f64"))
+    for r in ROWS:
+        for c in COLS:
+            cols = np.array(c, np.int64) if isinstance(c, list) else c
+            np.testing.assert_array_equal(e.select(r, c).to_numpy(), a[r][:, cols])
+    csr = e.to_csr()
+    assert e.nnz == csr.nnz == (a != 0).sum() and e.index_dtype == "u16"
+    assert [x.value for x in e.indptr().orderBy("i").collect()] == [x.value for x in csr.indptr().orderBy("i").collect()] == [0, *np.cumsum((a != 0).sum(1))]
+    plan = e.select(None, slice(2, 4)).to_csr().frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") > plan.index("Exchange")  # columns go before the shuffle: below it in the plan
+    assert "partial_sum" in plan
+
+
+def test_dense_parts_are_bounded(spark, monkeypatch):
+    rows = [(i, [i % 70, 70 + i % 30], [1.0, 2.0]) for i in range(300)]
+    m = matrix.CsrFrame(spark.createDataFrame(rows, "row long, indices array<int>, values array<double>"), 300, 100, matrix.dtype("f64"))
+    want = m.to_numpy()
+    assert want.sum() == 900 and matrix.CELLS // 100 > 0
+    batches = list(m.iter_batches(64))
+    assert [b.shape for b in batches] == [(64, 100)] * 4 + [(44, 100)]
+    np.testing.assert_array_equal(np.concatenate([b.to_numpy() for b in batches]), want)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import matrixloom as ml
 from matrixloom.functions import errors
 from matrixloom.plans import plan as plans
+from matrixloom.plans import stats
 from matrixloom.sources import container, store, zipio
 
 X = np.arange(12, dtype=np.float32).reshape(4, 3)
@@ -172,7 +173,7 @@ def test_store_writes(spark, tmp_path):
     with pytest.raises(ValueError):
         ml.write_dense(spark, X, str(tmp_path / "z"), indptr_codec="zstd")
     with pytest.raises(errors.ResourceLimitError):
-        ml.open_store(spark, path, limits=ml.ReadLimits(max_meta_bytes=3))
+        ml.open_store(spark, path, limits=ml.ReadLimits(max_metadata_size=3))
     with pytest.raises(FileNotFoundError):
         ml.open_store(spark, str(tmp_path / "none"))
     c = ml.write_csr_arrays(spark, np.array([5, 6], np.uint16), [2, 0], [0, 1, 2], (2, 3), str(tmp_path / "c"))
@@ -180,8 +181,13 @@ def test_store_writes(spark, tmp_path):
 
 
 def test_options():
-    assert ml.Codec.parse("zstd").level == 3 and ml.Codec.parse({"algorithm": "blosc", "backend": "zstd"}).parquet == "zstd"
-    for bad in ({"algorithm": "zstd", "shuffle": "bits"}, {"algorithm": "blosc", "level": 10}, "snappy", {"x": 1}, {"algorithm": "lz4", "level": 1}):
+    assert ml.Codec.parse("zstd").level == 3 and ml.Codec.parse({"algorithm": "blosc", "backend": "zstd"}).parquet_options()["compression"] == "zstd"
+    assert ml.Codec.parse(" BLOSC ") == ml.Codec.blosc() and ml.Codec.parse(ml.Codec.zstd(1)) == ml.Codec("zstd", level=1) == ml.Codec.parse({"algorithm": "zstd", "level": 1})
+    assert ml.Codec.blosc("zlib", 9).parquet_options()["zlib.compress.level"] == "BEST_COMPRESSION" and ml.Codec.blosc(level=5).unused() == [] and ml.Codec.blosc(level=9, shuffle="bits").unused() == ["level", "shuffle"]
+    for wrong in (3, None, {"algorithm": "blosc", "split_blocks": "false"}, {"algorithm": "zlib", "level": True}):
+        with pytest.raises(TypeError):
+            ml.Codec.parse(wrong)
+    for bad in ({"algorithm": "zstd", "shuffle": "bits"}, {"algorithm": "blosc", "level": 10}, "snappy", {"x": 1}, {"algorithm": "lz4", "level": 1}, {"algorithm": "zstd", "level": 10**12}, {"level": 1}, {"algorithm": "none", "level": 1}):
         with pytest.raises(ValueError):
             ml.Codec.parse(bad)
     for bad in (dict(num_workers=0), dict(queue_depth=1), dict(io_mode="x"), dict(max_total_inflight_io_ops=1)):
@@ -288,4 +294,164 @@ def test_rows_by_table_and_counts(spark, dense):
     with pytest.raises(ValueError):
         ml.open_csr(spark, dense.path)
     with pytest.raises(errors.ResourceLimitError):
-        ml.open_dense(spark, dense.path, limits=ml.ReadLimits(max_decoded_bytes=10)).to_numpy()
+        ml.open_dense(spark, dense.path, limits=ml.ReadLimits(max_decoded_size=10)).to_numpy()
+
+
+def test_readers_find_whole_stores_while_one_is_replaced(spark, tmp_path):
+    import threading
+
+    path, seen, stop = str(tmp_path / "p"), [], threading.Event()
+    ml.write_dense(spark, X, path).close()
+
+    def poll():
+        while not stop.is_set():
+            seen.append(float(ml.open_store(spark, path).to_numpy().sum()))
+
+    thread = threading.Thread(target=poll)
+    thread.start()
+    try:
+        for k in range(2, 6):
+            ml.write_dense(spark, X * k, path, overwrite=True).close()
+    finally:
+        stop.set()
+        thread.join()
+    assert seen and set(seen) <= {float((X * k).sum()) for k in range(1, 6)} and seen == sorted(seen)
+    before = sorted(p.name for p in (tmp_path / "p").iterdir())
+    with pytest.raises(Exception):
+        ml.write_csr(spark, ml.CsrFrame(spark.createDataFrame([(0, [1, 0], [1.0, 2.0])], "row long, indices array<int>, values array<double>"), 1, 3, ml.dtype("f64")), path, overwrite=True)
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == before
+
+
+def test_containers_are_replaced_whole(spark, tmp_path):
+    path = tmp_path / "c"
+    write_sample(spark, path)
+    old = ml.read_container(spark, str(path))
+    write_sample(spark, path, overwrite=True)
+    assert old.matrices["X"].to_numpy().tolist() == X.tolist() and len(old.obs.collect()) == 4  # an open container keeps its version
+
+    def occupy(name, index, total):
+        if index == total:
+            (tmp_path / "race/other").write_text("concurrent writer")
+
+    with pytest.raises(FileExistsError):
+        write_sample(spark, tmp_path / "race", progress=occupy)
+    assert [p.name for p in (tmp_path / "race").iterdir() if not p.name.startswith(".")] == ["other"]
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine/thesis").write_text("x")
+    with pytest.raises(FileExistsError):
+        write_sample(spark, tmp_path / "mine", overwrite=True)
+    assert (tmp_path / "mine/thesis").exists()
+    obs, var = old.obs, old.var
+    for matrices, error in (({"X": X, "layers/b": np.array([[True]] * 4)}, (ValueError, TypeError)), ({"X": X[:, :2]}, ValueError), ({"X": X[:3]}, ValueError)):
+        with pytest.raises(error):
+            ml.write_container(spark, str(tmp_path / "never"), obs=obs, var=var, matrices=matrices)
+    assert not (tmp_path / "never").exists()
+    table = obs.selectExpr("pos", "batch")
+    ml.write_container(spark, str(tmp_path / "t"), obs=obs, var=var, matrices={"X": X}, tables={"obsm/kinds": table})
+    assert ml.read_container(spark, str(tmp_path / "t")).tables["obsm/kinds"].count() == 4
+    about = next((tmp_path / "t").glob("ver-*/_container.json"))
+    about.write_text(about.read_text().replace('"version": 1', '"version": 9'))
+    next((tmp_path / "t").glob("ver-*/._container.json.crc")).unlink()
+    with pytest.raises(errors.UnsupportedError):
+        ml.read_container(spark, str(tmp_path / "t"))
+
+
+def test_archives_open_in_place(spark, tmp_path):
+    put(spark, tmp_path / "d", X)
+    write_sample(spark, tmp_path / "c")
+    one, two, box = (str(tmp_path / n) for n in ("one.zip", "two.zip", "box.zip"))
+    zipio.pack(str(tmp_path / "d"), one)
+    zipio.pack(str(tmp_path / "d"), two, prefix="a")
+    zipio.pack(str(tmp_path / "d"), two, prefix="b/c")
+    container.pack_container(spark, str(tmp_path / "c"), box)
+    assert ml.open_store(spark, one).to_numpy().tolist() == X.tolist()
+    assert ml.open_store(spark, two, zip_prefix="b/c")[1].tolist() == [3, 4, 5] and zipio.list_stores(two) == ["a", "b/c"]
+    with pytest.raises(ValueError, match="b/c"):
+        ml.open_store(spark, two)
+    with pytest.raises(FileNotFoundError):
+        ml.open_store(spark, two, zip_prefix="z")
+    with pytest.raises(ValueError):
+        ml.open_store(spark, str(tmp_path / "d"), zip_prefix="a")
+    (tmp_path / "no.zip").write_text("nothing of the kind")
+    with pytest.raises(errors.ZipError):
+        ml.open_store(spark, str(tmp_path / "no.zip"))
+    assert ml.list_keys(spark, box) == ["X", "layers/counts", "obsm/cube", "obsp/near"]
+    d = ml.register(spark, box, key="layers/counts").with_aligned_features(["g2", "no"])
+    assert ml.compile(d, d.rows_for(["c3", "c0"]), output=ml.OutputSpec(2, "f32", fill=-1)).read().tolist() == [[12, -1], [3, -1]]
+    assert ml.open_store(spark, box, zip_prefix="layers/counts").shape == (4, 3)
+    assert ml.read_container(spark, box, include=["obsm"]).array("obsm/cube").shape == (2, 3, 4)
+
+
+def test_write_knobs_act(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 50, (4000, 40)).astype(np.int32)
+    size = lambda p: sum(f.stat().st_size for f in p.glob("gen-*/data/part-*"))
+    for level in (0, 9):
+        ml.write_dense(spark, a, str(tmp_path / f"z{level}"), codec=ml.Codec.blosc("zstd", level))
+        ml.write_dense(spark, a, str(tmp_path / f"g{level}"), codec=ml.Codec.blosc("zlib", level))
+    assert size(tmp_path / "z9") < size(tmp_path / "z0") and size(tmp_path / "g9") < size(tmp_path / "g0")
+    with pytest.warns(errors.PerformanceWarning, match="shuffle"):
+        s = ml.write_dense(spark, a, str(tmp_path / "s"), codec=ml.Codec.blosc(shuffle="bytes"))
+    assert s.codec == ml.Codec.blosc(shuffle="bytes")
+    ml.write_dense(spark, a, str(tmp_path / "b"), chunk_policy="cells", chunk_cells=1000, block_policy="cells", block_cells=250)
+    files = sorted((tmp_path / "b").glob("gen-*/data/part-*.parquet"))
+    assert len(files) == 4 and all(pq.ParquetFile(f).metadata.num_row_groups >= 4 for f in files)
+    indptr = np.concatenate([[0], np.cumsum(rng.integers(0, 9, 300))])
+    cols = np.concatenate([rng.choice(70, n, replace=False) for n in np.diff(indptr)])
+    c = ml.write_csr_arrays(spark, np.ones(len(cols), np.float32), cols, indptr, (300, 70), str(tmp_path / "c"), chunk_budget=200, indptr_codec="zstd")
+    files = list((tmp_path / "c").glob("gen-*/data/part-*.parquet"))
+    got = sorted((min(t), max(t)) for t in (pq.read_table(f)["row"].to_pylist() for f in files) if t)
+    from matrixloom.operators.partition import budget_groups
+
+    assert got == [(x, y - 1) for x, y in budget_groups((np.diff(indptr) * 4).tolist(), 200)] and c.indptr_codec == ml.Codec.zstd() and c.meta["partition"]["chunks"] == len(got)
+    for limit in (dict(max_block_count=3), dict(max_encoded_size=10), dict(max_metadata_size=10)):
+        with pytest.raises(errors.ResourceLimitError):
+            ml.open_store(spark, str(tmp_path / "b"), **limit)
+    assert ml.open_store(spark, str(tmp_path / "b"), limits=ml.ReadLimits(max_decoded_size=5), num_workers=4).limits.num_workers == 4
+    for bad in (dict(max_decoded_size=True), dict(max_block_count=1 << 128), dict(num_workers=0)):
+        with pytest.raises((TypeError, ValueError)):
+            ml.ReadLimits(**bad)
+
+
+def test_names_of_rows_stay_tables(spark, tmp_path):
+    write_sample(spark, tmp_path / "c")
+    d = ml.register(spark, str(tmp_path / "c"))
+    assert d.given_names is None and d.observations.count() == 4
+    wanted = spark.createDataFrame([(0, "c2"), (1, "c0"), (2, "c2")], "pos long, name string")
+    rows = d.rows_for(wanted)
+    assert sorted((r.pos, r.row) for r in rows.collect()) == [(0, 2), (1, 0), (2, 2)]
+    assert [list(r["values"]) for r in ml.planned(d, rows.withColumn("source_id", F.lit(0)), batch_size=2, rank=1, world_size=2).collect()] == [X[2].tolist()]
+    with pytest.raises(ValueError, match="c9"):
+        d.rows_for(["c1", "c9"])
+    assert d.rows_for(["c1", "c9"], missing="drop").tolist() == [1]
+    assert ml.register(spark, str(tmp_path / "c"), obs_names=list("abcd")).rows_for(["c"]).tolist() == [2]
+
+
+def test_broken_indices_fail_the_batch(spark, tmp_path):
+    frame = spark.createDataFrame([(0, [2, 1], [1.0, 2.0])], "row long, indices array<int>, values array<double>")
+    rows = plans.source_rows(ml.CsrFrame(frame, 1, 3, ml.dtype("f64")), spark.createDataFrame([(0, 0)], "pos long, row long"), None, ml.OutputSpec(3, "f64"))
+    with pytest.raises(Exception, match="ascend"):
+        rows.collect()
+
+
+def test_counters_of_tables_and_arrays_agree(spark, tmp_path):
+    a = np.arange(60, dtype=np.float32).reshape(30, 2)
+    ml.write(spark, a, str(tmp_path / "d"), block_policy="cells", block_cells=4).close()
+    d = ml.register(spark, str(tmp_path / "d"))
+    rows = [(7 * i * i) % 30 for i in range(50)]
+    plan = ml.compile(d, rows, batch_size=8)
+    frame = spark.createDataFrame([(i, 0, r) for i, r in enumerate(rows)], "pos long, source_id int, row long")
+    got = stats.request_stats(frame, [4], 8).first()
+    want = plan.stats
+    assert (got.input_rows, got.jobs, got.block_jobs, got.cache_reference_hits, got.cache_reference_misses) == (want.input_rows, want.jobs, want.block_jobs, want.cache_reference_hits, want.cache_reference_misses)
+    assert want.data_io_ops == 8 and want.predicted_io_seconds > 0 and want.max_decoded_bytes_per_job <= 8 * 32 and len(want.as_dict()) > 40
+    assert stats.request_stats(frame.limit(0), [4], 8).first().jobs == 0
+
+
+def test_sessions_shuffle_rows_once(dense):
+    from matrixloom.streaming.session import packed
+
+    text = packed(plans.compile(dense, [3, 1]))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") <= 2 and "rangepartitioning" not in text  # the join's and the batches'
