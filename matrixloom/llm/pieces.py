@@ -7,8 +7,8 @@ what merging in order of score gives. So a state is a place and, for BPE, the pi
 
 Giant documents are cut into chunks. A chunk's transfer matrix holds, in max-plus arithmetic, the best
 weight from each state in which a path can enter it to each in which it can leave it. Matrices of one
-document are combined associatively (small ones, never texts), which fixes the states at all boundaries,
-and every chunk is then traced back on its own. No piece holds a word mark after another character,
+document are combined associatively (small ones, never texts; in spans, so that many of one document are
+worked on by many tasks), which fixes the states at all boundaries, and every chunk is then traced back on its own. No piece holds a word mark after another character,
 so paths of different words are independent, and the different words of a batch go through the lattice
 together, each once. Nothing is remembered from batch to batch but which pieces are compatible, in a table
 of fixed size.
@@ -17,7 +17,7 @@ of fixed size.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -31,6 +31,8 @@ from ._lattice import LONGEST_WORD, Lattice
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 1 << 15
+#: Matrices that one task multiplies.
+SPAN = 64
 #: Bytes of texts that a worker encodes at once (some 60 times as much memory).
 BATCH_BYTES = 1 << 20
 #: Pairs of pieces that the lattice of single words remembers (some 20 MB).
@@ -437,18 +439,23 @@ def product(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
     return [[max((x + b[k][j] for k, x in enumerate(row) if x > NO), default=NO) for j in range(len(b[0]))] for row in a]
 
 
-def boundary_states(matrices: list[list[list[float]]]) -> list[tuple[int, int]]:
-    """(entry, exit) of each chunk on the best path, from products of the matrices before and after each boundary."""
+def boundary_states(matrices: list[list[list[float]]], entry: int | None = None, leave: int | None = None) -> list[tuple[int, int]]:
+    """(entry, exit) of each matrix on the best path, from products of the matrices before and after each boundary.
+
+    The path begins and ends in the states that are given, or in the best ones.
+    """
     ends = [None] * len(matrices)
-    right: list = [None] * len(matrices)  # products of all matrices from a chunk on
-    for i in range(len(matrices) - 1, -1, -1):
-        right[i] = matrices[i] if i == len(matrices) - 1 else product(matrices[i], right[i + 1])
-    state = max(range(len(right[0])), key=lambda k: max(right[0][k]))
+    # best weight from each state before a matrix to the end
+    after = [0.0 if leave in (None, j) else NO for j in range(len(matrices[-1][0]))]
+    right = [after]
+    for m in reversed(matrices):
+        right.append([max((x + y for x, y in zip(row, right[-1])), default=NO) for row in m])
+    right.reverse()
+    state = max(range(len(right[0])), key=right[0].__getitem__) if entry is None else entry
     for i, m in enumerate(matrices):
-        after = [max(row) for row in right[i + 1]] if i + 1 < len(matrices) else [0.0] * len(m[0])
-        leave = max(range(len(after)), key=lambda j: m[state][j] + after[j] if m[state][j] > NO else NO)
-        ends[i] = (state, leave)
-        state = leave
+        out = max(range(len(m[state])), key=lambda j: m[state][j] + right[i + 1][j])
+        ends[i] = (state, out)
+        state = out
     return ends
 
 
@@ -517,12 +524,39 @@ def _matrices(path: str):
     return run
 
 
+def _of(table_: pa.Table) -> list[list[list[float]]]:
+    return [json.loads(m) for m in table_["matrix"].to_pylist()]
+
+
+def _spans(table_: pa.Table) -> pa.Table:
+    """The product of a span's matrices."""
+    whole = reduce(product, _of(table_.sort_by("part")))
+    return pa.table({"rid": table_["rid"][:1], "part": table_["span"][:1], "matrix": pa.array([json.dumps(whole)], pa.string())})
+
+
 def _states(table_: pa.Table) -> pa.Table:
+    """States at the boundaries of a document's matrices, or of a span's between its own entry and exit."""
     t = table_.sort_by("part")
-    states = boundary_states([json.loads(m) for m in t["matrix"].to_pylist()])
+    given = [t[c][0].as_py() for c in ("entry", "leave")] if "entry" in t.column_names else []
+    states = boundary_states(_of(t), *given)
     return pa.table({"rid": t["rid"], "part": t["part"], "entry": pa.array([a for a, _ in states], pa.int32()), "leave": pa.array([b for _, b in states], pa.int32())})
 
 
+def _scanned(matrices: DataFrame, longest: int) -> DataFrame:
+    """(rid, part, entry, leave) of all matrices (rid, part, matrix): a parallel scan where a document has many.
+
+    Spans of SPAN matrices are multiplied, each in a task of its own; their products, spanned again while there are many,
+    give the states between spans; then each span's own states follow, again in tasks of their own.
+    """
+    kind = "rid long, part int, entry int, leave int"
+    if longest <= SPAN:
+        return matrices.groupBy("rid").applyInArrow(_states, kind)
+    spanned = matrices.withColumn("span", F.expr(f"cast(part div {SPAN} as int)"))
+    products = spanned.groupBy("rid", "span").applyInArrow(_spans, "rid long, part int, matrix string")
+    between = _scanned(products, -(-longest // SPAN)).withColumnRenamed("part", "span")
+    return spanned.join(between, ["rid", "span"]).groupBy("rid", "span").applyInArrow(_states, kind)
+
+
 def _traced(path: str):
     def run(batches):
         model = _model(path)
@@ -569,8 +603,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     chunks = long.repartition("rid").mapInArrow(_chunks(model, chunk), "rid long, doc_id long, part int, text string, begin int, end int")
     chunks = scratch.keep(chunks.repartition("rid", "part"), "chunks")
     matrices = chunks.mapInArrow(_matrices(model), "rid long, part int, matrix string")
-    states = matrices.groupBy("rid").applyInArrow(_states, "rid long, part int, entry int, leave int")
-    traced = chunks.join(states, ["rid", "part"]).mapInArrow(_traced(model), "rid long, doc_id long, part int, ids array<int>")
+    longest = (chunks.agg(F.max("part")).first()[0] or 0) + 1
+    if longest > SPAN:
+        matrices = scratch.keep(matrices, "matrices")
+    traced = chunks.join(_scanned(matrices, longest), ["rid", "part"]).mapInArrow(_traced(model), "rid long, doc_id long, part int, ids array<int>")
     whole = traced.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("part", "ids")).alias("parts")).join(long.select("rid", "text"), "rid").mapInArrow(_join(model), SCHEMA)
     return short.unionByName(whole)
 

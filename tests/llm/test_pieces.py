@@ -73,6 +73,57 @@ def test_product_is_associative():
         assert P.product(P.product(a, b), c) == P.product(a, P.product(b, c))
 
 
+def test_states_between_given_ends():
+    rng = random.Random(4)
+    mat = lambda a, b: [[rng.choice([P.NO, float(rng.randint(-9, 9))]) for _ in range(b)] for _ in range(a)]
+    weight = lambda ms, ends: sum(m[a][b] for m, (a, b) in zip(ms, ends))
+    for _ in range(200):
+        ms = [mat(2, 3), mat(3, 2), mat(2, 4), mat(4, 2)]
+        whole = P.product(P.product(ms[0], ms[1]), P.product(ms[2], ms[3]))
+        best = max(max(row) for row in whole)
+        if best > P.NO:
+            assert weight(ms, P.boundary_states(ms)) == best
+        for i in range(2):
+            for j in range(2):
+                if whole[i][j] > P.NO:
+                    ends = P.boundary_states(ms, i, j)
+                    assert weight(ms, ends) == whole[i][j] and ends[0][0] == i and ends[-1][1] == j
+
+
+def test_long_documents_are_scanned_in_spans(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["the", "é", "ciónquell", "x", "ß ", " ", "  ", "日本"]) for _ in range(n)) for n in (4000, 900, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for span in (3, 64):
+        monkeypatch.setattr(P, "SPAN", span)
+        got = {r.doc_id: list(r.ids) for r in P.encode(df, chunk=128).collect()}
+        assert got == {i: LIB.encode(t) for i, t in enumerate(texts)}
+
+
+def test_batches_of_words_equal_the_library():
+    """All words at once: bytes for characters without a piece, long words, runs of marks, repeated words."""
+    m = P._model(MODEL)
+    assert m.lattice is not None
+    rng = random.Random(11)
+    letters = "abcdeéñßthe日本😀\u200b\tX1.,!"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 9, 30, 63, 64, 65, 80]))) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts += samples(rng, 100) + ["", " ", "a" * 70, "a" * 300, "  ab", "▁▁ab"]
+    ids, ends = m.encode_many([m.mark(t) for t in texts])
+    got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+    assert got == LIB.encode(texts)
+
+
+def test_compatible_pairs_equal_merging():
+    import numpy as np
+
+    m, rng = P._model(MODEL), random.Random(12)
+    ids = sorted(m.ids.values())
+    short = [i for i in ids if len(m.pieces[i]) <= 3]
+    a, b = (np.array([rng.choice(short if rng.random() < 0.7 else ids) for _ in range(4000)]) for _ in range(2))
+    want = [m.merged(m.pieces[x] + m.pieces[y]) == [m.pieces[x], m.pieces[y]] for x, y in zip(a, b)]
+    assert m.lattice.compatible(a, b).tolist() == want and m.lattice.agreed(a, b).tolist() == m.lattice.agreed(a, b).tolist() == want
+
+
 def test_runs_of_spaces_in_chunks():
     m = P._model(MODEL)
     for t in ["a" + " " * 50 + "b", " " * 40, "x  y   z" * 10]:

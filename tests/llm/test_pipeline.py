@@ -37,3 +37,31 @@ def test_stages_keep_columns_and_odd_rows(spark):
             assert ids == [0, 1, 2, 3, 4]
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
+
+
+def test_hot_groups_go_through_all_stages(spark, tmp_path):
+    """A third of all rows are copies, as many near copies, and a passage and an address stand in most others."""
+    import random
+
+    rng = random.Random(3)
+    vocab = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").select("text").orderBy("doc_id").limit(40).collect()]
+    words = " ".join(vocab).split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, copy, base, passage = text(30), text(120), text(150).split(), text(60)
+    rows = [(i, copy) for i in range(300)]
+    for i in range(300, 600):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, f"{text(60)} {passage} {text(60)} mail a{i}@example.com " + (item if i % 9 == 0 else "")) for i in range(600, 900)]
+    docs = spark.createDataFrame([(i, t, "en", "hot", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 900, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    groups = test_near_dedup.brute(rows)
+    leaks = {d for d, *_ in test_decontaminate.brute([(d, t) for d, t in rows if d >= 600], [(1, item)])}
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert len(leaks) >= 30 and got == {d: lib.encode(pii.redact(t)) for d, t in rows if groups[d][1] == d and d not in leaks}
+    assert 0 in got and 300 in got and sum(d < 600 for d in got) == 2
