@@ -220,21 +220,35 @@ def _mixed(copy: Copy) -> None:
     copy.rewrite(pieces)
 
 
-_FIGURES = frozenset("0123456789 .,-")
+# What opens the gate in front of the rewriting, in text without case; each finds wherever the patterns above find.
+_BRACKETS, _BARE = "[({<", ("_at_", "-at-", "_dot_", "-dot-", " dot ")
+_LETTERED = re.compile(r"[0-9][OolI][\x20-]?[0-9]")
+_UNIT = re.compile(rf"(?<![^\W\d_])(?:{_WORD}|plus)(?![^\W_])")
+_NEXT = re.compile(rf"[\x20,.-]*+(?:(?:dot|punkt|point|punto)\x20++)?+(?:[0-9]|(?:{_WORD})(?![^\W_]))")
+_BEFORE = re.compile(r"(?:[0-9]|dot|punkt|point|punto)\Z")
+
+
+def _beside(low: str) -> bool:
+    """Whether a digit word or "plus" stands beside a figure or a digit word, with any separators between."""
+    for m in _UNIT.finditer(low):
+        if _NEXT.match(low, m.end()):
+            return True
+        before = low[max(0, m.start() - 100) : m.start()]
+        if before and (not (rest := before.rstrip(" ,.-")) or _BEFORE.search(rest)):
+            return True
+    return False
 
 
 def _rewritable(text: str) -> bool:
-    """Whether any rewriting below finds something in a text without strange characters."""
+    """Whether any rewriting below may find something in a text without strange characters."""
     low = text.casefold()
-    if " dot " in low or AT.search(text) or DOT.search(text) or LETTER_DIGIT.search(text):
-        return True
-    return any(w in low for w in DIGIT_WORDS) and (SPELLED.search(text) is not None or any(not _FIGURES.issuperset(m[0]) for m in MIXED.finditer(text)))
+    return any(x in low for x in _BARE) or _LETTERED.search(text) is not None or _beside(low) or any(x in low for x in _BRACKETS) and (AT.search(text) or DOT.search(text)) is not None
 
 
 def hidden_spans(text: str, known: list[tuple[int, int, int]], *, gated: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind, end) in source characters of identifiers that only the rewritten copy shows.
 
-    Texts without anything to rewrite are not copied; without `gated` all are, to the same result.
+    Texts with nothing to rewrite are not copied; without `gated` all are, to the same result.
     """
     strange = _strange(text)
     if gated and not strange and not _rewritable(text):
