@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -47,6 +48,14 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 17) -> np.ndarray:
 PART_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Hands freed memory back to the system, which a process that goes on to other work would hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def parts(batches, limit: int = PART_BYTES):
     """The batches in parts of some `limit` bytes of strings and binaries, of one row at least; empty batches go."""
     for batch in batches:
@@ -60,6 +69,7 @@ def parts(batches, limit: int = PART_BYTES):
             b = max(int(np.searchsorted(end, (end[a - 1] if a else 0) + limit, side="right")), a + 1)
             yield batch.slice(a, b - a)
             a = b
+    release()
 
 
 def binary(column: pa.Array) -> pa.Array:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MIX1, U64, Scratch, binary, mix, odd_multipliers, parts, table, word_hashes, words_of
+from ._common import MIX1, U64, Scratch, binary, mix, odd_multipliers, parts, release, table, word_hashes, words_of
 
 BUCKETS, DIM = 1 << 16, 12
 GRAMS = (3, 5)
@@ -246,7 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id", "left_semi")
     rows = rows.orderBy("doc_id").select("features", "quality").toArrow()
     scratch.drop("counted")
-    return train([x.as_buffer() for x in rows["features"]], rows["quality"].to_pylist())
+    model = train([x.as_buffer() for x in rows["features"]], rows["quality"].to_pylist())
+    del rows
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", out_col: str = "score") -> DataFrame:
