@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Nulls, empty and blank texts have no shingles and stay alone. A text of fewer than five words is one
-    shingle. Equal texts and equal shingle sets share a component. Rows that repeat a doc_id are versions of
+    shingle; texts of any length are read whole. Equal texts and equal shingle sets share a component. Rows that repeat a doc_id are versions of
     one document and share its component. Rows without a doc_id are linked by equal sets only and kept if
     no other row has their set. Other columns of `docs` are ignored, whatever their names.
     """

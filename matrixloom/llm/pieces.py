@@ -592,7 +592,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     """doc_id, n_pieces, ids, same_text: one row per input row.
 
     same_text tells that decoding the ids gives the text back (word marks in a text come back as spaces).
-    Nulls and empty texts have no pieces. Repeated rows are encoded one by one. Other columns are ignored.
+    Nulls and empty texts have no pieces; texts of any length are encoded whole. Repeated rows are encoded one by one. Other columns are ignored.
     The model file must be at the same path on every executor.
     """
     scratch = Scratch(docs.sparkSession, "pieces")

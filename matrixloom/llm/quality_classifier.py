@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row.
 
-    Nulls, empty and blank texts get the model's bias alone. Without labels, or with one label only, all
+    Nulls, empty and blank texts get the model's bias alone; texts and words of any length are read whole. Without labels, or with one label only, all
     scores are equal. Equal texts get equal scores. Other columns of `docs` are never read.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_train_rows=max_train_rows)

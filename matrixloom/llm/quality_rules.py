@@ -143,8 +143,8 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[list[float], list[li
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, p_good, kept: one row per input row.
 
-    Nulls and empty texts have no words, fail the base rule and are not kept. Texts with equal votes get
-    equal verdicts. Other columns of `docs` are ignored.
+    Nulls and empty texts have no words, fail the base rule and are not kept; texts of any length are read whole.
+    Texts with equal votes, repeated rows among them, get equal verdicts; an empty table gives no rows. Other columns of `docs` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     rows = scratch.keep(counts(docs, id_col, text_col).withColumn("votes", F.array(*votes().values())), "counts")

@@ -122,8 +122,8 @@ def _text(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans: one row per input row.
 
-    Nulls and empty texts have no spans (the hash of an empty string). Spans are kind:start:end in code
-    points, end exclusive, by start and then kind. A random span inside a fixed one is not repeated.
+    Nulls and empty texts have no spans (the hash of an empty string); texts of any length are read whole,
+    and repeated rows one by one. Spans are kind:start:end in code points, end exclusive, by start and then kind. A random span inside a fixed one is not repeated.
     Other columns of `docs` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
