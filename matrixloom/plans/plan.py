@@ -157,10 +157,10 @@ class Plan:
 
         return Session(self, config, copy=copy)
 
-    def open_distributed(self, world_size: int, config: Any = None):
+    def open_distributed(self, world_size: int, config: Any = None, *, spooled: bool = False):
         from ..streaming.session import DistributedSession
 
-        return DistributedSession(self, world_size, config)
+        return DistributedSession(self, world_size, config, spooled=spooled)
 
     def prefetch(self, config: Any = None, *, copy: bool = False):
         from ..streaming.session import Prefetch

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import CancelledError, SessionError, from_spark  # type: ignore[attr-defined]
-from ..operators.matrix import packed_batches
+from ..operators.matrix import BATCHES, packed_batches
+from ..operators.scratch import shared_folder
 from ..plans.config import SessionConfig
 from ..plans.stats import RuntimeStats
+from ..sources.fs import Files
 
 def packed(plan: Any, rank: int | None = None, world_size: int = 1) -> DataFrame:
     """(batch_id, n, data) in batch order; one shuffle deals rows to their batches."""
@@ -29,13 +31,28 @@ def packed(plan: Any, rank: int | None = None, world_size: int = 1) -> DataFrame
     return out.withColumn("batch_id", F.col("batch_id") * world_size + rank)
 
 
+def spool(plan: Any, world_size: int) -> str:
+    """Folder of all packed batches by rank: the sources are read once, whatever the number of ranks."""
+    path = f"{shared_folder(plan.spark)}/ranks-{uuid.uuid4().hex}"
+    packed(plan).withColumn("rank", F.pmod("batch_id", F.lit(world_size)).cast("int")).write.partitionBy("rank").parquet(path)
+    return path
+
+
+def spooled(plan: Any, path: str, rank: int, world_size: int) -> DataFrame:
+    """(batch_id, n, data) of one rank, in batch order, from a spool; only that rank's files are read."""
+    rows = plan.spark.read.schema("batch_id long, n long, data binary, rank int").parquet(path).where(F.col("rank") == rank).drop("rank")
+    parts = max(1, -(-plan.batch_count // (BATCHES * world_size)))
+    return rows.repartitionById(parts, F.expr(f"cast(batch_id div {BATCHES * world_size} as int)")).sortWithinPartitions("batch_id")
+
+
 class Session:
     """A pull iterator of [<= batch_size, n_cols] arrays, read-only unless copied."""
 
-    def __init__(self, plan: Any, config: SessionConfig | None = None, *, copy: bool = False, rank: int | None = None, world_size: int = 1):
+    def __init__(self, plan: Any, config: SessionConfig | None = None, *, copy: bool = False, rank: int | None = None, world_size: int = 1, source: str | None = None):
         if config is not None and not isinstance(config, SessionConfig):
             raise TypeError("config must be a SessionConfig")
         self.plan, self.config, self.copy, self.rank, self.world_size = plan, config or SessionConfig(), copy, rank, world_size
+        self.source = source
         self.state, self.rows_yielded, self.batches_yielded = "running", 0, 0
         self._tag, self._rows, self._lock = f"batches-{uuid.uuid4().hex}", None, threading.Lock()
 
@@ -50,7 +67,8 @@ class Session:
         context = self.plan.spark.sparkContext
         context.addJobTag(self._tag)
         try:
-            self._rows = iter(packed(self.plan, self.rank, self.world_size).toLocalIterator(prefetchPartitions=self.config.look_ahead))
+            batches = packed(self.plan, self.rank, self.world_size) if self.source is None else spooled(self.plan, self.source, self.rank, self.world_size)
+            self._rows = iter(batches.toLocalIterator(prefetchPartitions=self.config.look_ahead))
         finally:
             context.removeJobTag(self._tag)
 
@@ -163,8 +181,8 @@ class Prefetch:
 class RankIterator:
     """One rank's batches: batch i goes to rank i mod world_size. Pickles until it is used, and then only where it is."""
 
-    def __init__(self, image: bytes, rank: int, world_size: int, config: SessionConfig | None = None, copy: bool = False):
-        self.image, self.rank, self.world_size, self.config, self.copy, self._session = image, rank, world_size, config, copy, None
+    def __init__(self, image: bytes, rank: int, world_size: int, config: SessionConfig | None = None, copy: bool = False, source: str | None = None):
+        self.image, self.rank, self.world_size, self.config, self.copy, self.source, self._session = image, rank, world_size, config, copy, source, None
 
     def __getstate__(self) -> dict:
         if self._session is not None:
@@ -176,7 +194,7 @@ class RankIterator:
             from ..plans.plan import Plan
 
             plan = Plan.loads(self.image)
-            self._session = Session(plan, self.config, copy=self.copy, rank=self.rank, world_size=self.world_size)
+            self._session = Session(plan, self.config, copy=self.copy, rank=self.rank, world_size=self.world_size, source=self.source)
         return self._session
 
     def __len__(self) -> int:
@@ -203,12 +221,17 @@ class RankIterator:
 
 
 class DistributedSession:
-    """Hands out each rank once. Ranks read on their own; back-pressure is each rank's own pull."""
+    """Hands out each rank once. Ranks read on their own; back-pressure is each rank's own pull.
+
+    A rank looks for its rows in the sources itself, or with `spooled` in batches that are written to the shared folder
+    once, which pays where there are many ranks. The spool goes when the session is closed.
+    """
 
-    def __init__(self, plan: Any, world_size: int, config: SessionConfig | None = None):
+    def __init__(self, plan: Any, world_size: int, config: SessionConfig | None = None, *, spooled: bool = False):
         from ..sources.options import as_int
 
-        self.plan, self.world_size, self.config = plan, as_int(world_size, "world_size", 1), config
+        self.plan, self.world_size, self.config, self.spooled = plan, as_int(world_size, "world_size", 1), config, spooled
+        self._source: str | None = None
         self._given: set[int] = set()
         self._made: list[RankIterator] = []
 
@@ -217,7 +240,9 @@ class DistributedSession:
             raise ValueError(f"rank {r} of {self.world_size}")
         if r in self._given:
             raise ValueError(f"rank {r} was given out already")
-        out = RankIterator(self.plan.dumps(), r, self.world_size, self.config, copy)
+        if self.spooled and self._source is None:
+            self._source = spool(self.plan, self.world_size)
+        out = RankIterator(self.plan.dumps(), r, self.world_size, self.config, copy, self._source)
         self._given.add(r)
         self._made.append(out)
         return out
@@ -247,6 +272,9 @@ class DistributedSession:
     def close(self) -> None:
         for it in self._made:
             it.close()
+        if self._source is not None:
+            Files(self.plan.spark, self._source).delete()
+            self._source = None
 
     def __enter__(self) -> DistributedSession:
         return self

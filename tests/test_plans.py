@@ -116,6 +116,10 @@ def test_ranks(spark, tmp_path):
         with pytest.raises(TypeError):
             pickle.dumps(first)
     assert sorted(r.pos for r in plan.frame(1, 3).collect()) == [2, 3]
+    with plan.open_distributed(3, spooled=True) as s:
+        got = [[int(r[0]) // 3 for b in it for r in b] for it in s.ranks()]
+        assert got == [[0, 1, 6, 7], [2, 3], [4, 5]] and s._source
+    assert s._source is None
 
 
 def test_sessions(dense):
