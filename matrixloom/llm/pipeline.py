@@ -24,9 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; repeated rows once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates, that with the smallest doc_id; repeated rows once.
+
+    Rows without a doc_id go by their text and come after all others, so they stay where no other row is near.
+    """
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    docs = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    kept = near_dedup.near_duplicates(docs, id_col="__id").where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, "__id", "left_semi").dropDuplicates(["__id", "text"]).drop("__id")  # dealt by __id once for both
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_hot_groups_go_through_all_stages(spark, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert len(leaks) >= 30 and got == {d: lib.encode(pii.redact(t)) for d, t in rows if groups[d][1] == d and d not in leaks}
     assert 0 in got and 300 in got and sum(d < 600 for d in got) == 2
+
+
+def test_rows_without_an_id_are_deduplicated_by_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (5, text(1)), (3, text(1) + " end"), (None, text(2)), (None, text(2)), (None, text(3)), (None, None), (7, text(4)), (7, text(4)), (7, text(5))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF)
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted([(3, text(1) + " end"), (0, text(2)), (0, text(3)), (0, None), (7, text(4)), (7, text(5))], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("keys=[__id") >= 2
