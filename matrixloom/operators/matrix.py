@@ -393,18 +393,24 @@ class EntryFrame(Matrix):
         wanted = frame.where(spec.predicate(F.col("col"))).withColumn("__to", outputs).where(F.size("__to") > 0)
         return wanted.withColumn("col", F.explode("__to")).drop("__to")
 
-    def entries(self) -> DataFrame:
-        """(row, col) of the entries that count, each once."""
-        return self.frame.select("row", "col").distinct()
+    def counts(self) -> DataFrame:
+        """(row, n, top) of the rows with entries: how many columns they have and the last of them; one shuffle, combined before."""
+        of_row = self.frame.groupBy(F.col("row").cast("long").alias("row")).agg(F.collect_set("col").alias("cols"))
+        return of_row.select("row", F.size("cols").cast("long").alias("n"), F.array_max("cols").alias("top"))
+
+    def _summary(self) -> dict:
+        if "nnz" not in self.meta:
+            got = self.counts().agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("top")).first()
+            self.meta.update(nnz=got[0], index_dtype="u16" if got[1] is None or got[1] < 1 << 16 else "u32")
+        return self.meta
 
     @property
     def nnz(self) -> int:
-        return self.entries().count()
+        return self._summary()["nnz"]
 
     @property
     def index_dtype(self) -> str:
-        top = self.frame.agg(F.max("col")).first()[0]
-        return "u16" if top is None or top < 1 << 16 else "u32"
+        return self._summary()["index_dtype"]
 
     def to_csr(self) -> CsrFrame:
         return CsrFrame(canonical_rows(self.frame), self.n_rows, self.n_cols, self.dtype)
@@ -418,8 +424,7 @@ class EntryFrame(Matrix):
 
     def indptr(self) -> DataFrame:
         """Running totals of entries, from counts per row alone."""
-        counted = self.entries().groupBy(F.col("row").cast("long").alias("row")).agg(F.count("*").alias("n"))
-        return running_totals(counted, self.n_rows)
+        return running_totals(self.counts().select("row", "n"), self.n_rows)
 
     def info(self) -> dict:
         return super().info() | {"nnz": self.nnz}

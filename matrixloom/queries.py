@@ -348,7 +348,7 @@ g AS (SELECT 0 AS grp, CAST(0 AS HUGEINT) AS before, (SELECT min(row) FROM cum)
 SELECT CAST(grp AS BIGINT) AS grp, min(row) AS first_row, max(row) AS last_row, CAST(sum(cost) AS BIGINT) AS bytes FROM (SELECT cum.row, cum.cost, (SELECT max(grp) FROM g WHERE g.first <= cum.row) AS grp FROM cum) GROUP BY 1""")
 def partition_bytes_budget(spark: SparkSession, sf: str) -> DataFrame:
     m = quantities(spark, sf)
-    costs = m.entries().groupBy("row").agg((F.count("*") * 8).alias("cost"))
+    costs = m.counts().select("row", (F.col("n") * 8).alias("cost"))
     return partition.bytes_budget(costs, 4096, m.n_rows).groupBy("grp").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.sum("cost").alias("bytes"))
 
 
